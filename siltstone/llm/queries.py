@@ -9,12 +9,31 @@ from pyspark.sql import functions as F
 from siltstone.llm._runtime import table
 
 
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.bpe_codec import digest_documents, encode_documents
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digest_documents(encode_documents(table(spark, sf_dir, "documents"), ranks), ranks)
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.token_store import read_ids, write_ids
+
+    return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+
+
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.mpeg_audio import read_audio, store_audio
 
     return read_audio(store_audio(table(spark, sf_dir, "documents")))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), most=4096, end_id=2)
+
+
 CONTROL_TURNS = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
@@ -47,5 +66,5 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_mpeg_audio, op7_chat_format, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op4_token_store, op5_mpeg_audio, op6_packing, op7_chat_format, op8_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
