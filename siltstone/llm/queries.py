@@ -16,6 +16,12 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(encode_documents(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.token_store import read_ids, write_ids
 
@@ -66,5 +72,5 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op4_token_store, op5_mpeg_audio, op6_packing, op7_chat_format, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_near_dup, op4_token_store, op5_mpeg_audio, op6_packing, op7_chat_format, op8_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
