@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._runtime import table
+from siltstone.llm._runtime import crc32_bucket, table
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(encode_documents(table(spark, sf_dir, "documents"), ranks), ranks)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    part = crc32_bucket("doc_id", 3)
+    model = fit(docs.where(part != 1))
+    found = identify(docs, model)
+    return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.near_dup import near_duplicates
 
@@ -72,5 +82,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op3_near_dup, op4_token_store, op5_mpeg_audio, op6_packing, op7_chat_format, op8_secret_scan)}
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.vector_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.quality import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    part = crc32_bucket("doc_id", 5)
+    model = fit(docs, table(spark, sf_dir, "labels").where(part != 0))
+    return score_quality(docs, model).select("doc_id", (part == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bpe_codec, op2_language_id, op3_near_dup, op4_token_store, op5_mpeg_audio,
+    op6_packing, op7_chat_format, op8_secret_scan, op9_vector_search, op10_quality,
+)}
 ORACLE_SQL: dict[str, str] = {}
