@@ -102,6 +102,23 @@ def binary_column(data, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def kept_rows(docs, text_col: str, decide):
+    """Rows of ``docs``, all columns as they are, for which ``decide(bytes, offsets)`` holds.
+
+    ``decide`` is made once a task by calling the given factory, and gets whole texts.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds = decide()
+        for batch in batches:
+            for lo, hi, data, offs in utf8_slices(batch.column(place), 1_000_000):
+                yield batch.slice(lo, hi - lo).filter(pa.array(np.asarray(holds(data, offs), bool)))
+
+    ship_package(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def ragged_take(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows ``index`` of a ragged array, end to end, and their offsets."""
     lengths = (offsets[1:] - offsets[:-1])[index]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from siltstone.llm._hashing import GOLDEN, U64, mix
 from siltstone.llm._pretokens import LETTER, char_classes, code_points
-from siltstone.llm._runtime import ship_package, utf8_slices
+from siltstone.llm._runtime import kept_rows, ship_package, utf8_slices
 from siltstone.llm._training import load_model, sample_by_label, train_once
 
 ORDERS = (3, 4)
@@ -173,3 +173,19 @@ def identify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: bytes, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        own = load_model(shared.value)
+
+        def holds(data: bytes, offs: np.ndarray) -> np.ndarray:
+            names, scores = predict(own, data, offs)
+            return (np.array(names, dtype=str) != "und") & (scores >= least)
+
+        return holds
+
+    return kept_rows(docs, text_col, decide)

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm._hashing import GOLDEN, U64, mix, shingle_sets
@@ -303,3 +303,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     rows = signed.select("doc_id", *same).join(member, same, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document of each group: that of the least id.
+
+    Of several rows of one id the one whose text sorts first stays; rows without id stay.
+    """
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    order = Window.partitionBy(id_col).orderBy(text_col)
+    place = "__place__"
+    left = docs.join(gone, id_col, "left_anti").withColumn(place, F.row_number().over(order))
+    return left.where((F.col(place) == 1) | F.col(id_col).isNull()).select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._hashing import _VALUES, U64, span_hashes, word_spans
-from siltstone.llm._runtime import ship_package, utf8_slices
+from siltstone.llm._runtime import kept_rows, ship_package, utf8_slices
 from siltstone.llm._training import load_model, sample_by_label, train_once
 
 #: Labelled texts of each label that training reads at most, chosen by a hash of the id.
@@ -208,3 +208,14 @@ def score_quality(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(predict(own, data, offs))], ["doc_id", "score"])
 
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id bigint, score double")
+
+
+def keep_quality(docs: DataFrame, model: bytes, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        own = load_model(shared.value)
+        return lambda data, offs: predict(own, data, offs) >= least
+
+    return kept_rows(docs, text_col, decide)
