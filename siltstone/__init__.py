@@ -1,0 +1 @@
+"""Siltstone: versioned key-value logs, their storage layout and their analytics on Spark."""

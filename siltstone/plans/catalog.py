@@ -1,6 +1,561 @@
-"""The query catalogue: each query over the driver's tables, and its SQL."""
+"""The query catalogue: each query over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.config import DEFAULT
+from siltstone.functions.encoding import size_order, varint_size
+from siltstone.operators import compaction, layout, perf, replay, state
+from siltstone.sources import oplog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.from_events(read(spark, sf_dir, "events"))
+
+
+def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.from_orders(read(spark, sf_dir, "orders"))
+
+
+def orders_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.by_position(orders_log(spark, sf_dir)).select("segment", "seq", "k", "v")
+
+
+def probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"))
+
+
+def range_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events log, every 97th operation's get a range of 20 from its key."""
+    log = events_log(spark, sf_dir)
+    is_range = (F.col("op") == "g") & (F.col("seq") % 97 == 0)
+    end = (F.col("k").cast("bigint") + 20).cast("string")
+    return log.select("seq", F.when(is_range, "r").otherwise(F.col("op")).alias("op"), "k", "v", F.when(is_range, end).alias("k2"))
+
+
+def workload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as text lines, with blank, malformed and unknown ones among them."""
+    user, cents = F.col("user_id").cast("string"), F.round(F.col("value") * 100).cast("bigint").cast("string")
+    case = F.col("event_id") % 13
+    line = (
+        F.when(case == 0, "")
+        .when(case == 1, F.concat(F.lit("p x"), user, F.lit(" 1")))
+        .when(case == 2, F.concat(F.lit("  g   +"), user, F.lit(" ")))
+        .when(case == 3, F.concat(F.lit("x "), user, F.lit(" 1")))
+        .when(case == 4, F.concat(F.lit("p "), user))
+        .when(case == 5, F.concat(F.lit("d "), user))
+        .when(case == 6, F.concat(F.lit("r "), user, F.lit(" "), (F.col("user_id") + 20).cast("string")))
+        .when(case == 7, F.concat(F.lit("g "), user, F.lit("z")))
+        .when(case == 8, F.concat(F.lit("g "), user))
+        .when(case == 9, F.concat(F.lit("p "), user, F.lit(" 99999999999999999999")))
+        .otherwise(F.concat(F.lit("p "), user, F.lit(" "), cents))
+    )
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), line.alias("line"))
+
+
+def probe_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = read(spark, sf_dir, "customer")
+    return customer.select(F.col("c_custkey").alias("range_id"), F.col("c_custkey").cast("string").alias("low"), (F.col("c_custkey") + 20).cast("string").alias("high"))
+
+
+# ------------------------------------------------------------------ shared SQL
+
+EVENTS = """events_log AS (
+  SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'd' WHEN 'view' THEN 'g' ELSE 'p' END AS op,
+         CAST(user_id AS VARCHAR) AS k,
+         CASE WHEN event_type NOT IN ('error', 'view') THEN CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS v
+  FROM events)"""
+
+LIVE = (
+    EVENTS
+    + """, live AS (
+  SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS place FROM events_log WHERE op <> 'g')
+  WHERE place = 1 AND op = 'p')"""
+)
+
+SEGMENTS = """entries AS (
+  SELECT o_orderkey // 1000 AS segment, o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS v FROM orders)"""
+
+LINES = """lines AS (
+  SELECT event_id AS seq, CASE event_id % 13
+    WHEN 0 THEN '' WHEN 1 THEN 'p x' || user_id || ' 1' WHEN 2 THEN '  g   +' || user_id || ' ' WHEN 3 THEN 'x ' || user_id || ' 1'
+    WHEN 4 THEN 'p ' || user_id WHEN 5 THEN 'd ' || user_id WHEN 6 THEN 'r ' || user_id || ' ' || (user_id + 20)
+    WHEN 7 THEN 'g ' || user_id || 'z' WHEN 8 THEN 'g ' || user_id WHEN 9 THEN 'p ' || user_id || ' 99999999999999999999'
+    ELSE 'p ' || user_id || ' ' || CAST(round(value * 100) AS BIGINT) END AS line
+  FROM events),
+words AS (SELECT seq, string_split_regex(trim(line), '\\s+') AS w FROM lines),
+typed AS (
+  SELECT seq, w[1] AS verb, len(w) AS n,
+    CASE WHEN regexp_full_match(w[2], '[+-]?[0-9]+') THEN CAST(try_cast(w[2] AS BIGINT) AS VARCHAR) END AS a,
+    CASE WHEN regexp_full_match(w[3], '[+-]?[0-9]+') THEN CAST(try_cast(w[3] AS BIGINT) AS VARCHAR) END AS b
+  FROM words),
+classed AS (
+  SELECT *, CASE WHEN verb = '' THEN 'blank'
+    WHEN NOT ((verb IN ('p', 'r') AND n = 3) OR (verb IN ('g', 'd') AND n = 2)) THEN 'unknown'
+    WHEN a IS NULL OR (verb IN ('p', 'r') AND b IS NULL) THEN 'parse_error' ELSE 'ok' END AS class
+  FROM typed),
+parsed AS (
+  SELECT seq, class, CASE WHEN class = 'ok' THEN verb END AS op, CASE WHEN class = 'ok' THEN a END AS k,
+    CASE WHEN class = 'ok' AND verb = 'p' THEN b END AS v, CASE WHEN class = 'ok' AND verb = 'r' THEN b END AS k2
+  FROM classed)"""
+
+
+def varint_sql(n: str) -> str:
+    cases = " ".join(f"WHEN {n} < {1 << 7 * size} THEN {size}" for size in range(1, 9))
+    return f"(CASE {cases} ELSE 9 END)"
+
+
+def prefix_sql(a: str, b: str) -> str:
+    return f"coalesce(len(list_filter(range(1, least(len({a}), len({b})) + 1), lambda i: substr({a}, 1, i) = substr({b}, 1, i))), 0)"
+
+
+SIZED = (
+    SEGMENTS
+    + f""", chained AS (SELECT *, lag(k) OVER (PARTITION BY segment ORDER BY k) AS before FROM entries),
+prefixed AS (SELECT segment, k, v, CASE WHEN before IS NULL THEN 0 ELSE {prefix_sql("before", "k")} END AS lcp FROM chained),
+sized AS (
+  SELECT *, CAST({varint_sql("lcp")} + {varint_sql("(len(k) - lcp)")} + {varint_sql("len(v)")} + len(k) - lcp + len(v) AS BIGINT) AS delta,
+         CAST(1 + {varint_sql("len(k)")} + {varint_sql("len(v)")} + len(k) + len(v) AS BIGINT) AS whole
+  FROM prefixed)"""
+)
+
+PACKED = (
+    SIZED
+    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY k) AS rn FROM sized),
+packed AS (
+  SELECT segment, rn, k, v, delta, whole, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS place, whole AS bytes, whole AS held, TRUE AS restart
+  FROM numbered WHERE rn = 1
+  UNION ALL
+  SELECT segment, rn, k, v, delta, whole, block, place,
+         CASE WHEN place % 16 = 0 THEN whole ELSE delta END,
+         CASE WHEN place = 0 THEN 0 ELSE held END + CASE WHEN place % 16 = 0 THEN whole ELSE delta END, place % 16 = 0
+  FROM (
+    SELECT n.segment, n.rn, n.k, n.v, n.delta, n.whole, p.held,
+           CASE WHEN p.held + n.delta > 4096 THEN p.block + 1 ELSE p.block END AS block,
+           CASE WHEN p.held + n.delta > 4096 THEN 0 ELSE p.place + 1 END AS place
+    FROM packed p JOIN numbered n ON n.segment = p.segment AND n.rn = p.rn + 1))"""
+)
+
+RADIX = DEFAULT.flushes_per_table(8)
+_level = " ".join(f"WHEN segment >= (flushes // {RADIX[i + 1]}) * {RADIX[i + 1]} THEN {i}" for i in range(8))
+_table = " ".join(f"WHEN {i} THEN (segment - (flushes // {RADIX[i + 1]}) * {RADIX[i + 1]}) // {RADIX[i]}" for i in range(8))
+PLACED = (
+    SEGMENTS
+    + f""", sizes AS (SELECT segment, count(*) AS n FROM entries GROUP BY segment HAVING count(*) >= 1000),
+leveled AS (SELECT segment, n, flushes, CASE {_level} END AS level FROM sizes, (SELECT count(*) AS flushes FROM sizes)),
+placed AS (SELECT segment, n, CAST(level AS BIGINT) AS level, CAST(CASE level {_table} END AS BIGINT) AS "table" FROM leveled)"""
+)
+
+# ------------------------------------------------------------------ sources
+
+
+@query(f"WITH {LINES} SELECT seq, class, op, k, v, k2 FROM parsed")
+def q01_parse_workload(spark, sf_dir):
+    return oplog.parse_workload(workload_lines(spark, sf_dir))
+
+
+@query("SELECT count(*) AS pairs_loaded FROM orders")
+def q02_load_pairs(spark, sf_dir):
+    return orders_log(spark, sf_dir).agg(F.count("*").alias("pairs_loaded"))
+
+
+@query(
+    f"""WITH {EVENTS}, counted AS (
+  SELECT CAST(count_if(op = 'p') AS BIGINT) AS puts, CAST(count_if(op = 'g') AS BIGINT) AS gets,
+         CAST(count_if(op = 'd') AS BIGINT) AS deletes, CAST(count_if(op = 'r') AS BIGINT) AS ranges FROM events_log),
+sized AS (SELECT *, puts * 8 AS data_size_bytes FROM counted)
+SELECT *, CASE
+  WHEN data_size_bytes >= 1048576 THEN
+    CASE WHEN -(-data_size_bytes * 10 // 1048576) < 100 THEN (-(-data_size_bytes * 10 // 1048576)) // 10 || '.' || (-(-data_size_bytes * 10 // 1048576)) % 10
+    ELSE CAST(-(-data_size_bytes // 1048576) AS VARCHAR) END || 'MB'
+  WHEN data_size_bytes >= 1024 THEN
+    CASE WHEN CAST(ceil(data_size_bytes * 10 / 1024) AS BIGINT) < 100 THEN CAST(ceil(data_size_bytes * 10 / 1024) AS BIGINT) // 10 || '.' || CAST(ceil(data_size_bytes * 10 / 1024) AS BIGINT) % 10
+    ELSE CAST(CAST(ceil(data_size_bytes / 1024) AS BIGINT) AS VARCHAR) END || 'KB'
+  ELSE data_size_bytes || 'B' END AS data_size FROM sized"""
+)
+def q03_workload_profile(spark, sf_dir):
+    return replay.workload_profile(events_log(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ state
+
+
+@query(f"WITH {LIVE} SELECT k, v, seq FROM live")
+def q04_lww_state(spark, sf_dir):
+    return state.resolve(events_log(spark, sf_dir))
+
+
+@query(f"WITH {LIVE} SELECT k, v FROM live WHERE k = '7'")
+def q05_point_get(spark, sf_dir):
+    return state.get(events_log(spark, sf_dir), "7")
+
+
+@query(f"WITH {LIVE} SELECT p.k, live.k IS NOT NULL AS found, live.v FROM (SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer) p LEFT JOIN live ON live.k = p.k")
+def q06_multi_get(spark, sf_dir):
+    return state.multi_get(events_log(spark, sf_dir), probe_keys(spark, sf_dir))
+
+
+@query(f"WITH {LIVE} SELECT k, v FROM live WHERE k >= '10' AND k <= '2'")
+def q07_range_scan(spark, sf_dir):
+    return state.range_scan(events_log(spark, sf_dir), "10", "2")
+
+
+@query(
+    f"""WITH {SEGMENTS} SELECT segment, CAST(count_if(k BETWEEN '1000' AND '2999') AS BIGINT) AS n,
+  CASE WHEN max(k) > '2999' AND max(k) >= '1000' THEN 'FirstKeyFound' WHEN count_if(k BETWEEN '1000' AND '2999') = 0 THEN 'KeyNotFound'
+       WHEN max(k) = '2999' THEN 'FullSetFound' ELSE 'FirstKeyFound' END AS flag
+FROM entries GROUP BY segment"""
+)
+def q08_range_flag(spark, sf_dir):
+    return state.range_flag(orders_segments(spark, sf_dir), "1000", "2999")
+
+
+@query(
+    f"""WITH {SEGMENTS}, ends AS (SELECT segment, max(k = '1250') AS found FROM entries GROUP BY segment)
+SELECT segment, k, v, found FROM entries JOIN ends USING (segment) WHERE NOT found OR k <= '1250'"""
+)
+def q09_get_until(spark, sf_dir):
+    return state.get_until(orders_segments(spark, sf_dir), "1250")
+
+
+# ------------------------------------------------------------------ replay
+
+ASOF = """seen AS (
+  SELECT *, last_value(CASE WHEN op <> 'g' THEN op || coalesce(v, '') END IGNORE NULLS) OVER (
+    PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
+  FROM (SELECT seq, op, k, v FROM {log} WHERE op IN ('p', 'd', 'g')))"""
+
+
+@query(f"WITH {EVENTS}, {ASOF.format(log='events_log')} SELECT seq, k, coalesce(last[1] = 'p', FALSE) AS found, CASE WHEN last[1] = 'p' THEN last[2:] END AS v FROM seen WHERE op = 'g'")
+def q10_asof_get(spark, sf_dir):
+    return replay.asof_get(events_log(spark, sf_dir))
+
+
+RANGES = """versions AS (
+  SELECT r.seq, e.k, e.v, e.op, row_number() OVER (PARTITION BY r.seq, e.k ORDER BY e.seq DESC) AS place
+  FROM ranges r JOIN {log} e ON e.op IN ('p', 'd') AND e.seq < r.seq AND e.k BETWEEN r.k AND r.k2)"""
+
+
+@query(
+    f"""WITH {EVENTS}, ranges AS (SELECT seq, k, CAST(CAST(k AS BIGINT) + 20 AS VARCHAR) AS k2 FROM events_log WHERE op = 'g' AND seq % 97 = 0),
+{RANGES.format(log="events_log")} SELECT seq, k, v FROM versions WHERE place = 1 AND op = 'p'"""
+)
+def q11_range_replay(spark, sf_dir):
+    return replay.range_replay(range_log(spark, sf_dir))
+
+
+@query(f"WITH {LIVE} SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT k FROM live)")
+def q12_absent_keys(spark, sf_dir):
+    return state.absent(events_log(spark, sf_dir), probe_keys(spark, sf_dir))
+
+
+@query(
+    f"""WITH {LINES}, {ASOF.format(log="parsed")}, ranges AS (SELECT seq, k, k2 FROM parsed WHERE op = 'r'),
+{RANGES.format(log="parsed")},
+hits AS (SELECT count(DISTINCT seq) AS range_success FROM versions WHERE place = 1 AND op = 'p')
+SELECT count(*) AS total_lines, CAST(count_if(op = 'p') AS BIGINT) AS put_success, CAST(count_if(op = 'd') AS BIGINT) AS delete_success,
+  CAST(count_if(class = 'parse_error') AS BIGINT) AS parse_errors, CAST(count_if(class = 'unknown') AS BIGINT) AS unknown_commands,
+  (SELECT CAST(count_if(coalesce(last[1] = 'p', FALSE)) AS BIGINT) FROM seen WHERE op = 'g') AS get_success,
+  (SELECT CAST(count_if(NOT coalesce(last[1] = 'p', FALSE)) AS BIGINT) FROM seen WHERE op = 'g') AS get_fail,
+  (SELECT range_success FROM hits) AS range_success,
+  CAST(count_if(op = 'r') AS BIGINT) - (SELECT range_success FROM hits) AS range_fail
+FROM parsed"""
+)
+def q13_workload_stats(spark, sf_dir):
+    return replay.workload_stats(oplog.parse_workload(workload_lines(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ layout
+
+
+@query(
+    f"""WITH {SEGMENTS}, {EVENTS} SELECT 'orders' AS log, segment, count(*) AS n FROM entries GROUP BY segment
+UNION ALL SELECT 'events' AS log, seq // 1000 AS segment, count(*) AS n FROM events_log GROUP BY 2"""
+)
+def q14_segment_assign(spark, sf_dir):
+    orders = layout.segment_sizes(orders_segments(spark, sf_dir)).withColumn("log", F.lit("orders"))
+    events = layout.segment_sizes(layout.by_position(events_log(spark, sf_dir))).withColumn("log", F.lit("events"))
+    return orders.unionByName(events).select("log", "segment", "n")
+
+
+@query(None)
+def q14_segment_exact(spark, sf_dir):
+    """Segments by distinct keys of the update-heavy log, each customer segment of 40 users a stream."""
+    log = events_log(spark, sf_dir).withColumn("stream", F.floor(F.col("k").cast("bigint") / 40))
+    small = type(DEFAULT)(memtable_entries=20)
+    return layout.by_distinct_keys(log, small, ["stream"]).groupBy("stream", "segment").agg(F.count("*").alias("n"), F.count_distinct("k").alias("keys"), F.min("seq").alias("first_seq"))
+
+
+@query(
+    f"""WITH {SIZED} SELECT segment, k, v, CAST(lcp AS BIGINT) AS lcp, substr(k, CAST(lcp AS BIGINT) + 1) AS suffix,
+  CAST({varint_sql("lcp")} AS BIGINT) AS shared_size, CAST({varint_sql("(len(k) - lcp)")} AS BIGINT) AS unshared_size,
+  CAST({varint_sql("len(v)")} AS BIGINT) AS value_size, delta AS encoded_size FROM sized"""
+)
+def q15_delta_encode(spark, sf_dir):
+    return layout.delta_encode(orders_segments(spark, sf_dir))
+
+
+@query(f"WITH {SEGMENTS} SELECT segment, k, v FROM entries")
+def q16_delta_decode(spark, sf_dir):
+    from pyspark.sql import Window
+
+    encoded = layout.delta_encode(orders_segments(spark, sf_dir))
+    placed = encoded.withColumn("place", F.row_number().over(Window.partitionBy("segment").orderBy("k")))
+    return layout.delta_decode(placed.select("segment", "place", "lcp", "suffix", "v"))
+
+
+@query(
+    f"""WITH RECURSIVE {PACKED} SELECT segment, block, count(*) AS entries, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(count_if(restart) AS BIGINT) AS restarts
+FROM packed GROUP BY segment, block"""
+)
+def q17_block_pack(spark, sf_dir):
+    return layout.block_summary(layout.pack_blocks(orders_segments(spark, sf_dir)))
+
+
+FENCES = (
+    PACKED
+    + """, blocks AS (SELECT segment, block, min(k) AS first_key, sum(bytes) AS bytes FROM packed GROUP BY segment, block),
+fences AS (SELECT segment, block, first_key, CAST(4 + coalesce(sum(bytes) OVER (PARTITION BY segment ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM blocks)"""
+)
+
+
+@query(f"WITH RECURSIVE {FENCES} SELECT * FROM fences")
+def q18_fence_pointers(spark, sf_dir):
+    return layout.fence_pointers(layout.pack_blocks(orders_segments(spark, sf_dir)))
+
+
+@query(
+    f"""WITH RECURSIVE {FENCES}, probes AS (SELECT c_custkey // 1000 AS segment, CAST(c_custkey AS VARCHAR) AS k FROM customer)
+SELECT p.segment, p.k, CAST(coalesce(max(block) FILTER (WHERE first_key <= p.k), 0) AS BIGINT) AS block
+FROM probes p JOIN fences f ON f.segment = p.segment GROUP BY p.segment, p.k"""
+)
+def q19_fence_lookup(spark, sf_dir):
+    probes = probe_keys(spark, sf_dir).select(F.floor(F.col("k").cast("bigint") / 1000).cast("bigint").alias("segment"), "k")
+    return layout.fence_lookup(probes, layout.fence_pointers(layout.pack_blocks(orders_segments(spark, sf_dir))))
+
+
+BLOOM_BITS, BLOOM_HASHES = layout.bloom_size(1000, 0.01)
+_hash = lambda part: f"CAST('0x' || substr(md5(k), {8 * part + 1}, 8) AS BIGINT)"
+
+
+@query(
+    f"""WITH {SEGMENTS}, hashed AS (SELECT segment, k, {_hash(0)} AS h1, {_hash(1)} AS h2 FROM entries),
+bits AS (SELECT DISTINCT segment, (h1 + i * h2) % {BLOOM_BITS} AS position FROM hashed, range({BLOOM_HASHES}) t(i)),
+probes AS (SELECT segment, k, h1, h2, TRUE AS present FROM hashed UNION ALL SELECT segment + 1, k, h1, h2, FALSE FROM hashed),
+asked AS (SELECT DISTINCT segment, k, present, (h1 + i * h2) % {BLOOM_BITS} AS position FROM probes, range({BLOOM_HASHES}) t(i)),
+tested AS (SELECT segment, k, present, bool_and(b.position IS NOT NULL) AS maybe FROM asked LEFT JOIN bits b USING (segment, position) GROUP BY ALL)
+SELECT segment, present, count(*) AS probes, CAST(count_if(maybe) AS BIGINT) AS positives FROM tested GROUP BY segment, present"""
+)
+def q20_bloom_probe(spark, sf_dir):
+    entries = orders_segments(spark, sf_dir)
+    filters = layout.bloom_build(entries, BLOOM_BITS, BLOOM_HASHES)
+    probes = entries.select("segment", "k").unionByName(entries.select((F.col("segment") + 1).alias("segment"), "k"))
+    tested = layout.bloom_probe(probes, filters, BLOOM_BITS, BLOOM_HASHES)
+    present = F.floor(F.col("k").cast("bigint") / 1000) == F.col("segment")
+    return tested.groupBy("segment", present.alias("present")).agg(F.count("*").alias("probes"), F.count_if("maybe").alias("positives"))
+
+
+@query(
+    f"""WITH {EVENTS}, kept AS (SELECT k, op, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS place FROM events_log WHERE op <> 'g' AND seq < 6000) WHERE place = 1)
+SELECT 'keep' AS mode, * FROM kept UNION ALL SELECT 'purge' AS mode, * FROM kept WHERE op = 'p'"""
+)
+def q21_compact_merge(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    runs = [compaction.flush_segments(layout.by_position(log.where(part))).drop("segment") for part in ("seq < 3000", "seq >= 3000 AND seq < 6000")]
+    keep = compaction.merge_runs(runs, purge=False).select(F.lit("keep").alias("mode"), "k", "op", "v", "seq")
+    purge = compaction.merge_runs(runs, purge=True).select(F.lit("purge").alias("mode"), "k", "op", "v", "seq")
+    return keep.unionByName(purge)
+
+
+def placement(spark, sf_dir) -> DataFrame:
+    return layout.level_placement(orders_segments(spark, sf_dir))
+
+
+@query(f"WITH {PLACED} SELECT * FROM placed")
+def q22_level_placement(spark, sf_dir):
+    return placement(spark, sf_dir)
+
+
+LEVELS = 'levels AS (SELECT level, count(DISTINCT "table") AS tables, CAST(sum(n) AS BIGINT) AS entries FROM placed GROUP BY level)'
+
+
+@query(f"WITH {PLACED}, {LEVELS} SELECT * FROM levels")
+def q23_level_counts(spark, sf_dir):
+    return layout.level_counts(placement(spark, sf_dir))
+
+
+@query(f"WITH {PLACED} SELECT level, k || ':' || v || ':' || level AS line FROM entries JOIN placed USING (segment)")
+def q24_stats_dump(spark, sf_dir):
+    return layout.stats_dump(orders_segments(spark, sf_dir), placement(spark, sf_dir))
+
+
+@query(
+    f"""WITH {PLACED}, {LEVELS}, every AS (
+  SELECT l.level, coalesce(entries, 0) AS entries FROM (SELECT unnest(range(max(level) + 1)) AS level FROM levels) l LEFT JOIN levels USING (level)),
+total AS (SELECT sum(entries) AS total, sum(CASE WHEN entries > 0 THEN entries * log2(entries) ELSE 0 END) AS terms, bool_or(entries = 0) AS hollow FROM every),
+raw AS (SELECT level, entries, hollow, greatest(10 + terms / total - log2(greatest(entries, 1)), 0) AS bits FROM every, total)
+SELECT level, CAST(entries AS BIGINT) AS entries, round(bits, 9) AS bits, round(least(greatest(pow(2, -bits), 0.001), 0.999), 9) AS fpr,
+  round(CASE WHEN hollow THEN 0.999 ELSE least(greatest(pow(2, -bits), 0.001), 0.999) END, 9) AS unguarded_fpr FROM raw"""
+)
+def q25_monkey_fpr(spark, sf_dir):
+    counts = layout.level_counts(placement(spark, sf_dir)).select("level", "entries")
+    every = counts.agg(F.max("level").alias("top")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("level"))
+    levels = every.join(counts, "level", "left").select("level", F.coalesce("entries", F.lit(0).cast("bigint")).alias("entries"))
+    out = layout.filter_allocation(levels)
+    return out.select("level", "entries", *(F.round(c, 9).alias(c) for c in ("bits", "fpr", "unguarded_fpr")))
+
+
+@query(
+    f"""WITH RECURSIVE {PACKED} SELECT segment, CAST(sum(whole) AS BIGINT) AS raw_bytes, CAST(sum(bytes) AS BIGINT) AS encoded_bytes,
+  CAST(sum(whole) - sum(bytes) AS BIGINT) AS saved_bytes FROM packed GROUP BY segment"""
+)
+def q26_delta_savings(spark, sf_dir):
+    from siltstone.functions.encoding import record_size
+
+    packed = layout.pack_blocks(orders_segments(spark, sf_dir))
+    whole = record_size(F.lit(0), F.length("k"), F.length("v")).cast("bigint")
+    out = packed.groupBy("segment").agg(F.sum(whole).alias("raw_bytes"), F.sum("bytes").alias("encoded_bytes"))
+    return out.withColumn("saved_bytes", F.col("raw_bytes") - F.col("encoded_bytes"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS name, count(*) AS n, CAST(sum({varint_sql(c)}) AS BIGINT) AS bytes, round(avg({varint_sql(c)}), 6) AS mean_bytes FROM {t}"
+        for t, c in (("orders", "o_orderkey"), ("orders", "o_custkey"), ("lineitem", "l_partkey"), ("lineitem", "l_suppkey"))
+    )
+)
+def q27_varint_expectation(spark, sf_dir):
+    def sizes(name: str, columns: tuple[str, ...]) -> DataFrame:
+        table = read(spark, sf_dir, name).select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), varint_size(F.col(c)).alias("size")) for c in columns))).alias("x"))
+        return table.groupBy("x.name").agg(F.count("*").alias("n"), F.sum("x.size").alias("bytes"), F.round(F.avg("x.size"), 6).alias("mean_bytes"))
+
+    return sizes("orders", ("o_orderkey", "o_custkey")).unionByName(sizes("lineitem", ("l_partkey", "l_suppkey")))
+
+
+@query(
+    f"""WITH {SEGMENTS}, sizes AS (SELECT segment, count(*) AS slots FROM entries GROUP BY segment),
+used AS (SELECT segment, slots, {_hash(0)} % slots AS slot, count(*) AS n FROM entries JOIN sizes USING (segment) GROUP BY ALL)
+SELECT segment, slots, slots - count(*) AS empty, CAST(count_if(n = 1) AS BIGINT) AS usable, CAST(count_if(n > 1) AS BIGINT) AS cancelled FROM used GROUP BY segment, slots"""
+)
+def q28_hash_slot_occupancy(spark, sf_dir):
+    return layout.hash_slots(orders_segments(spark, sf_dir))
+
+
+@query(
+    f"""WITH {PLACED} SELECT round(sum(n * (level + 1)) / sum(n), 9) AS write_amplification,
+  (SELECT count(*) FROM (SELECT DISTINCT level, "table" FROM placed)) AS read_amplification,
+  (SELECT round(count(*) / count(DISTINCT k), 9) FROM entries WHERE segment IN (SELECT segment FROM placed)) AS space_amplification
+FROM placed"""
+)
+def q29_amplification(spark, sf_dir):
+    out = layout.amplification(orders_segments(spark, sf_dir), placement(spark, sf_dir))
+    return out.select(F.round("write_amplification", 9).alias("write_amplification"), "read_amplification", F.round("space_amplification", 9).alias("space_amplification"))
+
+
+@query(
+    f"""WITH {LIVE}, ranges AS (SELECT c_custkey AS range_id, CAST(c_custkey AS VARCHAR) AS low, CAST(c_custkey + 20 AS VARCHAR) AS high FROM customer)
+SELECT range_id, count(live.k) AS n FROM ranges LEFT JOIN live ON live.k BETWEEN low AND high GROUP BY range_id"""
+)
+def q30_range_count(spark, sf_dir):
+    return state.range_count(events_log(spark, sf_dir), probe_ranges(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ performance logs
+
+MEANS = """means AS (
+  SELECT event_type AS op, user_id % 7 AS variant, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std,
+         avg(value / (user_id + 1) * 100) AS ratio FROM events GROUP BY ALL)"""
+
+
+def perf_means(spark, sf_dir) -> DataFrame:
+    runs = read(spark, sf_dir, "events").select(F.col("event_type").alias("op"), (F.col("user_id") % 7).alias("variant"), "value", (F.col("user_id") + 1).alias("references"))
+    return perf.mean_std(runs, "value", "value", "references")
+
+
+@query(f"WITH {MEANS} SELECT op, variant, n, round(mean, 6) AS mean, round(std, 6) AS std, round(ratio, 6) AS ratio FROM means")
+def q31_perf_mean_std(spark, sf_dir):
+    return perf_means(spark, sf_dir).select("op", "variant", "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "ratio")))
+
+
+@query(f"WITH {MEANS} SELECT op, round(avg(mean), 6) AS mean, round(max(mean) - min(mean), 6) AS spread, round(stddev_samp(mean), 6) AS std FROM means GROUP BY op")
+def q32_perf_summary(spark, sf_dir):
+    return perf.summary(perf_means(spark, sf_dir)).select("op", *(F.round(c, 6).alias(c) for c in ("mean", "spread", "std")))
+
+
+SIZE_LABELS = ("10k", "100K", "1m", "2500k", "1000k", "500", "5M", "bloom_1m", "rayon_10m", "mixed", "1.5m", "gaussian")
+
+
+@query(
+    "WITH labels AS (SELECT unnest(["
+    + ", ".join(f"'{x}'" for x in SIZE_LABELS)
+    + """]) AS label), keyed AS (
+  SELECT label, CASE WHEN regexp_full_match(label, '[0-9]+(\\.[0-9]+)?[kKmM]?') THEN
+    CAST(regexp_extract(label, '^[0-9]+(\\.[0-9]+)?') AS DOUBLE) * CASE lower(right(label, 1)) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END END AS number FROM labels)
+SELECT label, row_number() OVER (ORDER BY number IS NULL, number, label) AS place FROM keyed"""
+)
+def q33_size_sort(spark, sf_dir):
+    from pyspark.sql import Window
+
+    # A dozen literal rows.
+    labels = spark.range(1).select(F.explode(F.array(*map(F.lit, SIZE_LABELS))).alias("label"))
+    return labels.select("label", F.row_number().over(Window.orderBy(*size_order(F.col("label")))).cast("bigint").alias("place"))
+
+
+def perf_logs(spark, sf_dir) -> DataFrame:
+    """A log for each event: a section that is out of date, then the one that counts; some have none."""
+    e = read(spark, sf_dir, "events")
+    count = lambda c: c.cast("string")
+    section = F.concat(
+        F.lit(" Performance counter stats for 'run':\n  "), count(F.col("event_id") * 1000 + F.col("user_id")), F.lit("      cycles:u\n  "),
+        count(F.col("event_id") * 31), F.lit("   instructions:u\n  "), count(F.col("user_id") * 7), F.lit("  cache-references:u\n  "),
+        count(F.col("user_id")), F.lit("  cache-misses:u\n\n  "), count(F.col("user_id")), F.lit("."), count(F.col("event_id") % 10), F.lit("25 seconds time elapsed\n"),
+        F.when(F.col("event_id") % 3 == 0, "").otherwise("  1.5 seconds user\n  0.25 seconds sys\n"),
+    )
+    old = F.lit(" Performance counter stats for 'old':\n  1      cycles:u\n")
+    return e.select(F.col("event_id").alias("run"), F.when(F.col("event_id") % 5 == 0, "no counters").otherwise(F.concat(old, section)).alias("content"))
+
+
+@query(
+    """SELECT event_id AS run, event_id * 1000 + user_id AS cycles, event_id * 31 AS instructions, user_id * 7 AS cache_references, user_id AS cache_misses,
+  CAST(user_id || '.' || (event_id % 10) || '25' AS DOUBLE) AS seconds_time_elapsed,
+  CASE WHEN event_id % 3 <> 0 THEN 1.5::DOUBLE END AS seconds_user, CASE WHEN event_id % 3 <> 0 THEN 0.25::DOUBLE END AS seconds_sys
+FROM events WHERE event_id % 5 <> 0"""
+)
+def q34_perf_extract(spark, sf_dir):
+    return perf.extract(perf_logs(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ options
+
+
+@query(f"WITH {LIVE} SELECT k, v FROM live WHERE CAST(k AS BIGINT) >= 9 AND CAST(k AS BIGINT) < 40")
+def q35_range_half_open_numeric(spark, sf_dir):
+    return state.range_scan(events_log(spark, sf_dir), "9", "40", end_inclusive=False, key_order="numeric")
+
+
+@query(f"WITH {EVENTS} SELECT k, v, op, seq AS valid_from, lead(seq) OVER (PARTITION BY k ORDER BY seq) AS valid_to FROM events_log WHERE op <> 'g'")
+def q36_version_history(spark, sf_dir):
+    return replay.version_history(events_log(spark, sf_dir))
