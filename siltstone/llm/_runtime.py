@@ -72,8 +72,8 @@ def crc32_bucket(column, modulus: int):
 # ---------------------------------------------------------------- Arrow batches
 
 
-def utf8_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """Whole texts of a string column in runs of about ``limit`` bytes.
+def utf8_slices(column: pa.Array, limit: int, rows: int = 8192) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """Whole texts of a string column in runs of about ``limit`` bytes and ``rows`` texts at most.
 
     Yields (first row, end row, UTF-8 bytes, byte offsets of the rows and the
     end).  Null counts as empty.  A text over the limit is a run of its own, so
@@ -91,7 +91,7 @@ def utf8_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, bytes,
     at = 0
     while at < n:
         end = int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1
-        end = min(n, max(at + 1, end))
+        end = min(n, max(at + 1, end), at + rows)
         yield at, end, bytes(raw[offs[at] : offs[end]]), offs[at : end + 1] - offs[at]
         at = end
 

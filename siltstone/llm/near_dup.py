@@ -7,8 +7,8 @@
    its slots are taken, since later ranks are larger.
 2. Texts with one set are one class; its least id stands for it.
 3. Classes that share a band of the signature are candidates.  A first pass pairs
-   each with the least id of the band's bucket; pairs whose sketches (a byte a
-   slot) rule out the similarity are dropped, the rest are confirmed on full sets.
+   each with the least id of the band's bucket; pairs whose sketches rule out the
+   similarity are dropped, the rest are confirmed on full sets.
 4. Buckets that still hold several components are compared in blocks, the members
    outside the bucket's largest component against all others, and what the
    sketches leave is confirmed too.  So no pair of a bucket is left out, and no
@@ -16,8 +16,11 @@
 5. Confirmed links are grouped by union-find within partitions and then by
    alternating star contraction between them.
 
-With 32 bands of 4 slots a pair at the similarity 0.8 shares no bucket with a
-probability of 5e-8, and has sketches under the limit with one of 1e-7.
+A sketch is a byte of each slot and a set's parities: each element flips one of
+2,048 bits.  Two sets differ in at least as many elements as their parities differ
+in bits, which rules a pair out for certain.  With 32 bands of 4 slots a pair at the
+similarity 0.8 shares no bucket with a probability of 5e-8, and has too few equal
+slot bytes with one of 1e-8.
 
 Defined cases: texts that are null or without words have no shingles and link with
 nothing; null doc_id links with nothing; rows of one doc_id are one node and are
@@ -38,6 +41,7 @@ from siltstone.llm._runtime import materialize, ship_package, shuffle_partitions
 
 SLOTS, BAND = 128, 4
 SLICE_BYTES = 2_000_000
+PARITY_BITS = 2048
 #: Members of a hot text's chunk, members outside the main component of a block, members of a salted part.
 CHUNK, BLOCK, SALT = 32, 256, 4096
 
@@ -88,6 +92,35 @@ def sketch_bytes(signatures: np.ndarray) -> np.ndarray:
     return (mix(signatures) & U64(255)).astype(np.uint8)
 
 
+def parity_bytes(elements: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Parities of each set: every element flips one of ``PARITY_BITS`` bits."""
+    n = len(offs) - 1
+    flips = np.zeros(n * PARITY_BITS, np.uint8)
+    bit = (mix(elements ^ U64(0x5851F42D4C957F2D)) % U64(PARITY_BITS)).astype(np.int64)
+    np.bitwise_xor.at(flips, np.repeat(np.arange(n), np.diff(offs)) * PARITY_BITS + bit, 1)
+    return np.packbits(flips.reshape(n, PARITY_BITS), axis=1)
+
+
+class Screen:
+    """Whether sketches (slot bytes and parities) and sizes of two sets allow the similarity.
+
+    Of sets of a and b elements at ``percent`` or more at most
+    ``(100 - percent) * (a + b) / (100 + percent)`` elements are in one of them only.
+    """
+
+    def __init__(self, percent: int):
+        share = percent / 100
+        # Equal slot bytes that a pair of the similarity has but for one in a hundred million (5.6 standard deviations).
+        self.least = int(SLOTS * share - 5.6 * (SLOTS * share * (1 - share)) ** 0.5)
+        self.percent = percent
+
+    def __call__(self, x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rows of bytes x and y, which broadcast, of sets of a and b elements."""
+        out = (x[..., :SLOTS] == y[..., :SLOTS]).sum(axis=-1) >= self.least
+        flipped = np.bitwise_count(x[..., SLOTS:] ^ y[..., SLOTS:]).sum(axis=-1, dtype=np.int64)
+        return out & (flipped * (100 + self.percent) <= (100 - self.percent) * (a + b)) & (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b))
+
+
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band, the band's number within."""
     n, slots = signatures.shape
@@ -117,7 +150,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     prints[0, full] = np.add.reduceat(mix(sets), starts)
                     prints[1, full] = np.add.reduceat(mix(sets ^ GOLDEN), starts)
                     signed = superminhash(sets, np.append(starts, at[-1]))
-                    for i, s, b in zip(full.tolist(), sketch_bytes(signed), band_keys(signed)):
+                    sketched = np.hstack((sketch_bytes(signed), parity_bytes(sets, np.append(starts, at[-1]))))
+                    for i, s, b in zip(full.tolist(), sketched, band_keys(signed)):
                         sketches[i], bands[i] = s.tobytes(), b
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -127,17 +161,20 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, _SIGNED)
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) whose sketches agree in ``least`` bytes."""
+def likely(pairs: DataFrame, sketches: DataFrame, screen: Screen) -> DataFrame:
+    """Pairs (a, b) whose sketches allow the similarity.  ``sketches``: (doc_id, n_shingles, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(part.num_rows, -1) for k in (2, 3))
+                a, b = (part.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+                yield part.select([0, 1]).filter(pa.array(screen(x, a, y, b)))
 
-    a = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"))
-    b = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+    a = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("p"))
+    b = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("q"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -229,7 +266,7 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def leftover_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+def leftover_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, screen: Screen) -> DataFrame:
     """Likely pairs of a bucket's members in different components, other than with its leader.
 
     ``buckets``: (key, doc_id, leader, size).  In each bucket the members outside its
@@ -242,35 +279,37 @@ def leftover_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, le
     members = members.join(mixed, "key")
     per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), (F.sum("n") - F.max("n")).alias("minor"))
-    rows = members.join(main, "key").join(sketches.select("doc_id", "sketch"), "doc_id")
+    rows = members.join(main, "key").join(sketches, "doc_id")
     blocks = F.ceil(F.col("minor") / BLOCK).cast("int")
     salts = F.ceil(F.col("size") / SALT).cast("int")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    fields = ("key", "block", "salt", "side", "doc_id", "component", "sketch")
-    asked = rows.where("component <> main").withColumn("block", own(blocks)).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("side", F.lit(0)).select(*fields)
-    met = rows.withColumn("salt", own(salts)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(1)).select(*fields)
-    dealt = asked.unionByName(met).repartition(shuffle_partitions(spark), "key", "block", "salt").sortWithinPartitions("key", "block", "salt", "side")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    # A row goes once to every block of its bucket as one that is met, and if it is outside the main component once to every salt as one that asks.
+    met = F.transform(every(blocks), lambda b: F.struct(b.alias("block"), own(salts).alias("salt"), F.lit(1).alias("side")))
+    asks = F.transform(every(salts), lambda x: F.struct(own(blocks).alias("block"), x.alias("salt"), F.lit(0).alias("side")))
+    places = F.when(F.col("component") == F.col("main"), met).otherwise(F.concat(met, asks))
+    dealt = rows.select("key", F.inline(places), "doc_id", "component", "n_shingles", "sketch").repartition(shuffle_partitions(spark), "key", "block", "salt").sortWithinPartitions("key", "block", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, groups, grid = None, [], [], None
+        key, ids, grid = None, [], []
         for batch in batches:
             pairs = []
-            for *now, side, doc, component, sketch in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != key:
-                    key, ids, groups, grid = now, [], [], []
-                sketch = np.frombuffer(sketch, np.uint8)
+            for k, block, salt, side, doc, component, size, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+                if (k, block, salt) != key:
+                    key, ids, grid = (k, block, salt), [], []
                 if side == 0:
-                    ids.append(doc)
-                    groups.append(component)
-                    grid.append(sketch)
+                    ids.append((doc, component, size))
+                    grid.append(np.frombuffer(sketch, np.uint8))
+                    continue
+                if not ids:
                     continue
                 if isinstance(grid, list):
-                    grid, groups = np.array(grid), np.array(groups)
-                if len(ids):
-                    near = np.flatnonzero(((grid == sketch).sum(axis=1) >= least) & (groups != component))
-                    pairs += [(min(ids[k], doc), max(ids[k], doc)) for k in near.tolist()]
+                    grid, asked = np.array(grid), np.array(ids, np.int64)
+                near = np.flatnonzero(asked[:, 1] != component)
+                near = near[screen(grid[near], asked[near, 2], np.frombuffer(sketch, np.uint8), size)]
+                pairs += [(min(int(d), doc), max(int(d), doc)) for d in asked[near, 0]]
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*set(pairs))], ["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -278,8 +317,7 @@ def leftover_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, le
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept is the component's least id."""
     ship_package(docs.sparkSession)
-    # Equal sketch bytes that a pair of the similarity has but for one in a hundred million (5.6 standard deviations).
-    least = int(SLOTS * (percent / 100) - 5.6 * (SLOTS * percent / 100 * (1 - percent / 100)) ** 0.5)
+    screen = Screen(percent)
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     signed = materialize(signatures(source, width), "signatures")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -290,11 +328,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     banded = reps.select("doc_id", F.explode("bands").alias("key")).distinct()
     leaders = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = materialize(banded.join(leaders, "key"), "buckets")
-    sketches = reps.select("doc_id", "sketch")
+    sketches = reps.select("doc_id", "n_shingles", "sketch")
     stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(confirmed(likely(stars, sketches, least), source, width, percent), "links")
+    links = materialize(confirmed(likely(stars, sketches, screen), source, width, percent), "links")
     found = components(links)
-    left = materialize(leftover_pairs(buckets, found, sketches, least), "leftover")
+    left = materialize(leftover_pairs(buckets, found, sketches, screen), "leftover")
     if not left.isEmpty():
         more = materialize(confirmed(left, source, width, percent), "links")
         if not more.isEmpty():
