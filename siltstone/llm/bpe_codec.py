@@ -47,7 +47,7 @@ def _pack(*parts: bytes | np.ndarray) -> bytes:
 
     raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
     head = np.array([len(parts), *map(len, raw)], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(raw))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -84,10 +84,12 @@ def _block_rows(block: int, docs: list, counts: np.ndarray, tokens: pa.ChunkedAr
     positions = (keyed & np.uint64(0xFFFFFFFF)).astype(np.int64)
     times = times[order]
     ends = np.cumsum(times)
+    where, firsts = np.unique(bucket[order], return_index=True)
+    # Words of a bucket stand in order of their first places, so these are small steps too.
     deltas = np.diff(positions, prepend=0)
-    deltas[(ends - times)] = positions[ends - times]
+    deltas[ends - times] = np.diff(positions[ends - times], prepend=0)
+    deltas[(ends - times)[firsts]] = positions[(ends - times)[firsts]]
     packed, at = varint_encode(deltas)
-    where, firsts = np.unique(bucket[order], return_index=True)
     for b, lo, hi in zip(where.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(words)]):
         own = [words[i] for i in order[lo:hi].tolist()]
         sizes = np.fromiter(map(len, own), np.int64, len(own))
@@ -128,7 +130,8 @@ def _encode(ranks_path: str):
                     sizes, data, times, positions = _unpack(row["payload"])
                     cuts = np.concatenate(([0], np.cumsum(varint_decode(sizes))))
                     flat, offs = encoder.encode(binary_column(data.tobytes(), cuts).to_pylist())
-                    row["payload"] = _pack(_varints(np.diff(offs)), _varints(flat), times, positions)
+                    narrow = "<u2" if flat.max(initial=0) < 1 << 16 else "<u4"
+                    row["payload"] = _pack(_varints(np.diff(offs)), flat.astype(narrow), times, positions)
                 yield _routed([(row["bucket"], row["block"], row["directory"], row["payload"])])
 
     return run
@@ -145,10 +148,14 @@ def _assemble(rows: list[dict]) -> tuple[list, np.ndarray, np.ndarray]:
     for row in rows:
         if row["directory"]:
             continue
-        sizes, flat, times, deltas = map(varint_decode, _unpack(row["payload"]))
-        run = np.cumsum(deltas)
+        sizes, flat, times, deltas = _unpack(row["payload"])
+        sizes, times, deltas = map(varint_decode, (sizes, times, deltas))
+        flat = flat.view("<u2" if len(flat) == 2 * sizes.sum() else "<u4")
         first = np.cumsum(times) - times
-        positions = run - np.repeat(run[first] - deltas[first], times)
+        steps = deltas.copy()
+        steps[first] = 0
+        run = np.cumsum(steps)
+        positions = run - np.repeat(run[first] - np.cumsum(deltas[first]), times)
         word_of[positions] = np.repeat(np.arange(base, base + len(times)), times)
         base += len(times)
         flats.append(flat)
