@@ -30,7 +30,8 @@ def sample_by_label(rows: DataFrame, per_label: int) -> tuple[DataFrame, dict]:
 def train_once(sample: DataFrame, train: Callable[[list, list, list], dict[str, np.ndarray]]) -> bytes:
     """The model that ``train(ids, texts, labels)`` makes of the sample, in one executor task.
 
-    Rows are ordered by id first, so a repeated task makes the same model.
+    Rows are ordered by id first, so a repeated task makes the same model.  An empty
+    sample is trained on, too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +42,8 @@ def train_once(sample: DataFrame, train: Callable[[list, list, list], dict[str,
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
     ship_package(sample.sparkSession)
-    return bytes(sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()["model"])
+    made = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(made["model"]) if made else next(run(iter(()))).column(0)[0].as_py()
 
 
 def load_model(data: bytes) -> dict[str, np.ndarray]:

@@ -71,6 +71,8 @@ def gram_hashes(data: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     edge = np.zeros(len(chars), bool)
     edge[begins] = True
     keep |= edge
+    # A text's own last space gives way to the one that starts the next.
+    keep[:-1] &= ~(space[:-1] & edge[1:] & ~edge[:-1])
     chars, owner = chars[keep], np.append(owner, n)[keep]
     space, edge = chars == 32, edge[keep]
     texts = np.searchsorted(owner, np.arange(n + 1))
