@@ -124,9 +124,10 @@ def ragged_take(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tup
     lengths = (offsets[1:] - offsets[:-1])[index]
     out = np.zeros(len(index) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
-    where = np.arange(out[-1], dtype=np.int64)
-    where += np.repeat(offsets[:-1][index] - out[:-1], lengths)
-    return flat[where], out
+    kind = np.int32 if max(out[-1], len(flat)) < 1 << 31 else np.int64
+    where = np.arange(out[-1], dtype=kind)
+    where += np.repeat((offsets[:-1][index] - out[:-1]).astype(kind), lengths)
+    return flat.take(where), out
 
 
 def varint_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ BLOCK = 1024
 ESCAPE = np.uint64((1 << 60) - 1)
 MAGIC = b"S8B1"
 PAGE_IDS = 262_144
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 3_000_000
 
 
 def _bit_lengths(v: np.ndarray) -> np.ndarray:
