@@ -59,7 +59,6 @@ def hash_slice(key: Column, part: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 8 * part + 1, 8), 16, 10).cast("bigint")
 
 
-def bloom_positions(key: Column, bits: int, hashes: int) -> Column:
-    """Bit positions of a key by double hashing."""
-    first, second = hash_slice(key, 0), hash_slice(key, 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(first + i * second, F.lit(bits)))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, for folds whose steps use it often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

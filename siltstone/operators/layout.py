@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULT, Config
-from siltstone.functions.encoding import bloom_positions, common_prefix, hash_slice, record_size, varint_size
+from siltstone.functions.encoding import common_prefix, hash_slice, let, record_size, varint_size
 
 LEVELS = 12
 
@@ -75,14 +75,20 @@ def delta_decode(encoded: DataFrame) -> DataFrame:
     A segment has at most a memtable's entries, so its records fit one array.
     """
     rows = encoded.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("place", "lcp", "suffix", "v"))).alias("rows"))
-    zero = F.struct(F.lit("").alias("last"), F.array().cast("array<struct<k:string,v:string>>").alias("out"))
+    strings = lambda kind: F.array().cast(kind).alias("keys")
 
     def step(acc: Column, r: Column) -> Column:
         key = F.concat(F.substring(acc["last"], F.lit(1), r["lcp"].cast("int")), r["suffix"])
-        return F.struct(key.alias("last"), F.concat(acc["out"], F.array(F.struct(key.alias("k"), r["v"].alias("v")))).alias("out"))
+        return let(key, lambda k: F.struct(k.alias("last"), F.concat(acc["keys"], F.array(k)).alias("keys")))
 
-    decoded = rows.select("segment", F.explode(F.aggregate("rows", zero, step, lambda a: a["out"])).alias("r"))
-    return decoded.select("segment", "r.k", "r.v")
+    def run(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["last"].alias("last"), strings("array<string>")), step)
+        return let(inner, lambda x: F.struct(x["last"].alias("last"), F.concat(acc["keys"], F.array(x["keys"])).alias("keys")))
+
+    # In two levels, so that appending to an array stays cheap.
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / 32).cast("int")), lambda i: F.slice("rows", i * 32 + 1, F.lit(32)))
+    keys = F.flatten(F.aggregate(parts, F.struct(F.lit("").alias("last"), strings("array<array<string>>")), run, lambda acc: acc["keys"]))
+    return rows.select("segment", F.inline(F.arrays_zip(keys.alias("k"), F.col("rows.v").alias("v"))))
 
 
 def pack_blocks(entries: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -96,21 +102,29 @@ def pack_blocks(entries: DataFrame, config: Config = DEFAULT) -> DataFrame:
     length, value = F.length("k"), F.length("v")
     sized = entries.select("segment", "k", "v", record_size(common_prefix(previous, F.col("k")), length, value).alias("delta"), record_size(F.lit(0), length, value).alias("whole"))
     rows = sized.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("k", "v", "delta", "whole"))).alias("rows"))
-    item = "array<struct<k:string,v:string,block:bigint,place:bigint,bytes:bigint,restart:boolean>>"
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(x) for x in ("block", "n", "bytes")), F.array().cast(item).alias("out"))
+    zero = F.struct(*(F.lit(0).cast("bigint").alias(x) for x in ("n", "bytes", "i")), F.array().cast("array<bigint>").alias("starts"))
 
     def step(acc: Column, r: Column) -> Column:
         opens = (acc["bytes"] + r["delta"] > config.block_bytes) & (acc["n"] > 0)
-        block = F.when(opens, acc["block"] + 1).otherwise(acc["block"])
-        n = F.when(opens, F.lit(0).cast("bigint")).otherwise(acc["n"])
-        held = F.when(opens, F.lit(0).cast("bigint")).otherwise(acc["bytes"])
-        restart = n % config.restart_interval == 0
-        size = F.when(restart, r["whole"]).otherwise(r["delta"]).cast("bigint")
-        record = F.struct(r["k"].alias("k"), r["v"].alias("v"), block.alias("block"), n.alias("place"), size.alias("bytes"), restart.alias("restart"))
-        return F.struct(block.alias("block"), (n + 1).alias("n"), (held + size).alias("bytes"), F.concat(acc["out"], F.array(record)).alias("out"))
 
-    packed = rows.select("segment", F.explode(F.aggregate("rows", zero, step, lambda a: a["out"])).alias("r"))
-    return packed.select("segment", "r.block", "r.place", "r.k", "r.v", "r.bytes", "r.restart")
+        def placed(n: Column) -> Column:
+            size = F.when(n % config.restart_interval == 0, r["whole"]).otherwise(r["delta"])
+            return F.struct(
+                (n + 1).alias("n"),
+                (F.when(n == 0, 0).otherwise(acc["bytes"]) + size).cast("bigint").alias("bytes"),
+                (acc["i"] + 1).alias("i"),
+                F.when(n == 0, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
+            )
+
+        return let(F.when(opens, F.lit(0).cast("bigint")).otherwise(acc["n"]), placed)
+
+    # The fold only finds where blocks start; places, restarts and sizes follow from that.
+    starts = F.aggregate("rows", zero, step, lambda acc: acc["starts"])
+    flat = rows.select("segment", starts.alias("starts"), "rows").select("segment", "starts", F.posexplode("rows").alias("i", "r"))
+    placed = flat.select("segment", "i", "r", F.size(F.filter("starts", lambda s: s <= F.col("i"))).alias("nth"), "starts")
+    placed = placed.select("segment", "r", (F.col("nth") - 1).cast("bigint").alias("block"), (F.col("i") - F.get("starts", F.col("nth") - 1)).alias("place"))
+    restart = F.col("place") % config.restart_interval == 0
+    return placed.select("segment", "block", "place", "r.k", "r.v", F.when(restart, F.col("r.whole")).otherwise(F.col("r.delta")).cast("bigint").alias("bytes"), restart.alias("restart"))
 
 
 def block_summary(packed: DataFrame) -> DataFrame:
@@ -149,15 +163,21 @@ def bloom_size(n: int, fpr: float) -> tuple[int, int]:
     return bits, max(1, round(bits / n * math.log(2)))
 
 
+def bloom_positions(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
+    """(segment, k, position) of every key (segment, k), by double hashing."""
+    hashed = keys.select("segment", "k", hash_slice(F.col("k"), 0).alias("h1"), hash_slice(F.col("k"), 1).alias("h2"))
+    every = hashed.select("segment", "k", "h1", "h2", F.explode(F.array(*map(F.lit, range(hashes)))).alias("i"))
+    return every.select("segment", "k", F.pmod(F.col("h1") + F.col("i") * F.col("h2"), F.lit(bits)).alias("position"))
+
+
 def bloom_build(entries: DataFrame, bits: int, hashes: int) -> DataFrame:
     """(segment, position) of the bits that are set."""
-    return entries.select("segment", F.explode(bloom_positions(F.col("k"), bits, hashes)).alias("position")).distinct()
+    return bloom_positions(entries, bits, hashes).select("segment", "position").distinct()
 
 
 def bloom_probe(probes: DataFrame, filters: DataFrame, bits: int, hashes: int) -> DataFrame:
     """(segment, k, maybe) of every distinct probe (segment, k): whether all its bits are set."""
-    asked = probes.select("segment", "k", F.explode(F.array_distinct(bloom_positions(F.col("k"), bits, hashes))).alias("position"))
-    hit = asked.join(filters.withColumn("set", F.lit(1)), ["segment", "position"], "left")
+    hit = bloom_positions(probes, bits, hashes).join(filters.withColumn("set", F.lit(1)), ["segment", "position"], "left")
     return hit.groupBy("segment", "k").agg(F.bool_and(F.col("set").isNotNull()).alias("maybe"))
 
 
