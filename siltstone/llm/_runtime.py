@@ -132,10 +132,11 @@ def ragged_take(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tup
 
 def varint_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """LEB128 bytes of unsigned values, and each value's offset (with the end)."""
-    v = values.astype(np.uint64)
-    size = np.ones(len(v), np.int64)
-    for bits in range(7, 64, 7):
-        over = v >= np.uint64(1 << bits)
+    kind = np.uint32 if len(values) == 0 or values.max() < 1 << 32 else np.uint64
+    v = values.astype(kind)
+    size = np.ones(len(v), np.uint8)
+    for bits in range(7, 64 if kind is np.uint64 else 32, 7):
+        over = v >= kind(1 << bits)
         if not over.any():
             break
         size += over
@@ -143,8 +144,8 @@ def varint_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(size, out=offs[1:])
     out = np.zeros(offs[-1], np.uint8)
     for k in range(int(size.max(initial=0))):
-        m = np.flatnonzero(size > k)
-        out[offs[m] + k] = ((v[m] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | ((size[m] > k + 1) << 7).astype(np.uint8)
+        m = np.flatnonzero(size > k) if k else slice(0, len(v))
+        out[offs[:-1][m] + k] = ((v[m] >> kind(7 * k)) & kind(127)).astype(np.uint8) | ((size[m] > k + 1).astype(np.uint8) << np.uint8(7))
     return out, offs
 
 

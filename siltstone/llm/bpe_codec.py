@@ -13,7 +13,7 @@ bytes by position, a table fixed by the vocabulary.
 
 Defined cases: null text is the empty text with no ids; null and repeated doc_id
 are kept as they are, a row for each input row; other columns are not read.  A
-block holds whole documents, so memory follows the block size (8 MB of text) or
+block holds whole documents, so memory follows the block size (14 MB of text) or
 the longest text.  Block numbers derive from the partition, so the input should be
 a scan or a materialised table whose partitions are the same when read again.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from siltstone.llm._pretokens import WordEncoder, rank_words, read_ranks, split_texts
 from siltstone.llm._runtime import binary_column, ragged_take, ship_package, shuffle_partitions, utf8_slices, varint_decode, varint_encode
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 14_000_000
 SLICE_BYTES = 2_000_000
 HOT_SHARE = 64
 #: Words that a bucket remembers for certain; above it the least recently used are encoded anew.
@@ -82,6 +82,7 @@ def _block_rows(block: int, docs: list, counts: np.ndarray, tokens: pa.ChunkedAr
     keyed = rank[index] << np.uint64(32) | np.arange(len(index), dtype=np.uint64)
     keyed.sort()
     positions = (keyed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    del keyed
     times = times[order]
     ends = np.cumsum(times)
     where, firsts = np.unique(bucket[order], return_index=True)
