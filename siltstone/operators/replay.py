@@ -9,23 +9,40 @@ from siltstone.functions.encoding import human_size
 from siltstone.operators.state import bucketed_ranges
 
 
-def asof_get(log: DataFrame) -> DataFrame:
+#: Places of the log that one task of a window may hold for a key; longer histories are cut.
+SPAN = 1 << 22
+
+
+def asof_get(log: DataFrame, span: int = SPAN) -> DataFrame:
     """(seq, k, found, v) of every get, as of its place in the log.
 
-    One shuffle by key; within a key the last write before the get is carried along.
+    Within a key and a span of the log the last write before the get is carried
+    along; a get that has none takes the last write of the key's earlier spans, of
+    which there is a row each.  So a hot key's history spreads over tasks.
     """
-    write = F.when(F.col("op").isin("p", "d"), F.struct("op", "v"))
-    before = Window.partitionBy("k").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = log.where(F.col("op").isin("p", "d", "g")).withColumn("last", F.last(write, ignorenulls=True).over(before))
+    ops = log.where(F.col("op").isin("p", "d", "g")).select("seq", "op", "k", "v", F.floor(F.col("seq") / span).alias("part"))
+    write = F.when(F.col("op") != "g", F.struct("seq", "op", "v"))
+    before = Window.partitionBy("k", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    inner = ops.withColumn("last", F.last(write, ignorenulls=True).over(before)).where(F.col("op") == "g").select("seq", "k", "part", "last")
+    spans = ops.groupBy("k", "part").agg(F.max(write).alias("write"))
+    earlier = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("k", "part", F.last("write", ignorenulls=True).over(earlier).alias("carry")).where("carry IS NOT NULL")
+    seen = inner.join(carried, ["k", "part"], "left").withColumn("last", F.coalesce("last", "carry"))
     found = F.coalesce(F.col("last.op") == "p", F.lit(False))
-    return seen.where(F.col("op") == "g").select("seq", "k", found.alias("found"), F.when(found, F.col("last.v")).alias("v"))
+    return seen.select("seq", "k", found.alias("found"), F.when(found, F.col("last.v")).alias("v"))
 
 
-def version_history(log: DataFrame) -> DataFrame:
-    """(k, v, op, valid_from, valid_to) of every write; valid_to is null for a key's last."""
-    following = Window.partitionBy("k").orderBy("seq")
-    writes = log.where(F.col("op").isin("p", "d"))
-    return writes.select("k", "v", "op", F.col("seq").alias("valid_from"), F.lead("seq").over(following).alias("valid_to"))
+def version_history(log: DataFrame, span: int = SPAN) -> DataFrame:
+    """(k, v, op, valid_from, valid_to) of every write; valid_to is null for a key's last.
+
+    The next write is found within the key's span, and for a span's last write it is
+    the first of the key's next span.
+    """
+    writes = log.where(F.col("op").isin("p", "d")).select("seq", "op", "k", "v", F.floor(F.col("seq") / span).alias("part"))
+    inner = writes.withColumn("next", F.lead("seq").over(Window.partitionBy("k", "part").orderBy("seq")))
+    firsts = writes.groupBy("k", "part").agg(F.min("seq").alias("first"))
+    following = firsts.select("k", "part", F.lead("first").over(Window.partitionBy("k").orderBy("part")).alias("after")).where("after IS NOT NULL")
+    return inner.join(following, ["k", "part"], "left").select("k", "v", "op", F.col("seq").alias("valid_from"), F.coalesce("next", "after").alias("valid_to"))
 
 
 def range_replay(log: DataFrame) -> DataFrame:

@@ -68,6 +68,15 @@ def test_range_count(case, spark):
     assert got == {i: sum(a <= k <= b for k in now) for i, a, b in ranges}
 
 
+@pytest.mark.parametrize("span", [1, 7, 50, replay.SPAN])
+def test_history_in_spans(case, span):
+    df, log, (_, gets, _) = case
+    assert {r.seq: (r.found, r.v) for r in replay.asof_get(df, span).collect()} == {s: (v is not None, v) for s, v in gets.items()}
+    writes = [(seq, k) for seq, op, k, _, _ in log if op in "pd"]
+    expected = {(k, seq): min((s for s, x in writes if x == k and s > seq), default=None) for seq, k in writes}
+    assert {(r.k, r.valid_from): r.valid_to for r in replay.version_history(df, span).collect()} == expected
+
+
 def test_replay(case):
     df, log, (_, gets, ranges) = case
     assert {r.seq: r.v for r in replay.asof_get(df).collect()} == gets
