@@ -20,11 +20,11 @@ def sample_by_label(rows: DataFrame, per_label: int) -> tuple[DataFrame, dict]:
     nor on the partitions.  The number of labels is taken to be small.
     """
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    limit = F.lit(0.0)
-    for label, n in sizes.items():
-        limit = F.when(F.col("label") == label, F.lit(min(1.0, per_label / n))).otherwise(limit)
+    if not sizes:
+        return rows.where(F.lit(False)), sizes
+    share = F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (str(label), min(1.0, per_label / n))))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
-    return rows.where(draw < limit), sizes
+    return rows.where(draw < F.try_element_at(share, F.col("label").cast("string"))), sizes
 
 
 def train_once(sample: DataFrame, train: Callable[[list, list, list], dict[str, np.ndarray]]) -> bytes:
