@@ -116,3 +116,30 @@ def test_pipeline_stages(spark, data):
         kept[name] = out.count()
         docs = out
     assert corpus_pipeline.run(spark, data).count() == kept["sequence_packing"]
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeated ids, copies, a very long text; and no rows at all."""
+    from helpers import TEXTS
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    english = [f"the quick brown fox number {i} jumps over the lazy dog and runs {i % 7} times" for i in range(30)]
+    german = [f"der schnelle braune fuchs nummer {i} springt über den faulen hund und rennt {i % 7} mal" for i in range(30)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(english)] + [(100 + i, t, "de", None, None) for i, t in enumerate(german)]
+    rows += [(None, t, None, None, None) for t in TEXTS] + [(200 + i, t, None, "s", 1) for i, t in enumerate(TEXTS)] + rows[:3] + [(0, "another text of the same id", "en", "s", 1)]
+    for name, own in (("full", rows), ("none", [])):
+        where = str(tmp_path / name)
+        spark.createDataFrame(own, schema).write.parquet(f"{where}/documents.parquet")
+        labels = [(i, 1, 0) for i in range(0, 130)] + [(5, 0, 0), (None, 1, None), (7, None, None)]
+        spark.createDataFrame(labels if own else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            out = f(spark, docs, where)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            out.write.parquet(f"{where}/{stage}")
+            docs = spark.read.parquet(f"{where}/{stage}")
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, where).collect()
+        assert bool(pieces) == bool(own)
+        if own:
+            ids = [r.doc_id for r in docs.where("doc_id IS NOT NULL").collect()]
+            assert len(ids) == len(set(ids)) and len(set(ids) & set(range(130))) >= 55
