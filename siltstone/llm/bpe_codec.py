@@ -138,17 +138,14 @@ def _encode(ranks_path: str):
     return run
 
 
-def _assemble(rows: list[dict]) -> tuple[list, np.ndarray, np.ndarray]:
-    """(doc ids, ids of the whole block, offset of each document's ids with the end)."""
-    directory = next(r for r in rows if r["directory"])
-    ids, missing, counts = _unpack(directory["payload"])
+def _assemble(rows: Iterator[dict]) -> tuple[list, np.ndarray, np.ndarray]:
+    """(doc ids, ids of the whole block, offset of each document's ids with the end); the directory comes first."""
+    ids, missing, counts = _unpack(next(rows)["payload"])
     docs = [None if m else i for i, m in zip(ids.view("<i8").tolist(), missing.tolist())]
     counts = varint_decode(counts)
-    word_of = np.zeros(int(counts.sum()), np.int64)
+    word_of = np.zeros(int(counts.sum()), np.int32)
     flats, lengths, base = [], [], 0
     for row in rows:
-        if row["directory"]:
-            continue
         sizes, flat, times, deltas = _unpack(row["payload"])
         sizes, times, deltas = map(varint_decode, (sizes, times, deltas))
         flat = flat.view("<u2" if len(flat) == 2 * sizes.sum() else "<u4")
@@ -159,35 +156,63 @@ def _assemble(rows: list[dict]) -> tuple[list, np.ndarray, np.ndarray]:
         positions = run - np.repeat(run[first] - np.cumsum(deltas[first]), times)
         word_of[positions] = np.repeat(np.arange(base, base + len(times)), times)
         base += len(times)
-        flats.append(flat)
+        flats.append(flat.astype("<u4"))
         lengths.append(sizes)
     if not flats:
         return docs, np.zeros(0, "<u4"), np.zeros(len(docs) + 1, np.int64)
     offs = np.concatenate(([0], np.cumsum(np.concatenate(lengths))))
-    out, at = ragged_take(np.concatenate(flats).astype("<u4"), offs, word_of)
+    out, at = ragged_take(np.concatenate(flats), offs, word_of)
     return docs, out, at[np.concatenate(([0], np.cumsum(counts)))]
 
 
-def _join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = (row for batch in batches for i in range(0, batch.num_rows, 64) for row in batch.slice(i, 64).to_pylist())
-    for _, own in groupby(rows, key=lambda r: r["block"]):
-        docs, ids, offs = _assemble(list(own))
-        data = ids.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs, pa.int64()), pa.array(np.diff(offs)), binary_column(data, offs * 4).cast(pa.binary())], ["doc_id", "n_tokens", "ids"]
-        )
+def _join_back(finish):
+    """Blocks reassembled from their rows; ``finish(docs, ids, offsets)`` makes their batches."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for i in range(0, batch.num_rows, 64) for row in batch.slice(i, 64).to_pylist())
+        for _, own in groupby(rows, key=lambda r: r["block"]):
+            yield from finish(*_assemble(own))
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) of every whole text; ids as little-endian unsigned 32-bit integers."""
+    return run
+
+
+def _coded(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, finish, schema: str) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     buckets = shuffle_partitions(spark)
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    schema = "bucket bigint, block bigint, directory boolean, payload binary"
-    words = source.mapInArrow(_split(buckets), schema).repartition(buckets, "bucket")
-    coded = words.mapInArrow(_encode(ranks_path), schema).repartition(buckets, "block").sortWithinPartitions("block")
-    return coded.mapInArrow(_join_back, "doc_id bigint, n_tokens bigint, ids binary")
+    routed = "bucket bigint, block bigint, directory boolean, payload binary"
+    words = source.mapInArrow(_split(buckets), routed).repartition(buckets, "bucket")
+    coded = words.mapInArrow(_encode(ranks_path), routed).repartition(buckets, "block").sortWithinPartitions("block", F.desc("directory"))
+    return coded.mapInArrow(_join_back(finish), schema)
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids) of every whole text; ids as little-endian unsigned 32-bit integers."""
+
+    def finish(own: list, ids: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        column = binary_column(ids.tobytes(), offs * 4).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.diff(offs)), column], ["doc_id", "n_tokens", "ids"])
+
+    return _coded(docs, ranks_path, id_col, text_col, finish, "doc_id bigint, n_tokens bigint, ids binary")
+
+
+def encode_and_decode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded again and digested block by block.
+
+    What ``digest_documents`` makes of ``encode_documents``, without handing the ids
+    from one Python worker to the next.
+    """
+
+    def finish(own: list, ids: np.ndarray, offs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lo = 0
+        while lo < len(own):
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + 1_000_000, side="right")) - 1)
+            text, decoded = _digests(ids[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], ranks_path)
+            yield pa.RecordBatch.from_arrays([pa.array(own[lo:hi], pa.int64()), pa.array(np.diff(offs[lo : hi + 1])), text, decoded], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            lo = hi
+
+    return _coded(docs, ranks_path, id_col, text_col, finish, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 @lru_cache(maxsize=2)
@@ -233,18 +258,21 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id bigint, decoded binary")
 
 
+def _digests(ids: np.ndarray, offs: np.ndarray, ranks_path: str) -> tuple[pa.Array, pa.Array]:
+    """Digests of each document's ids as decimal text, and of its decoded bytes."""
+    table = token_bytes(ranks_path)
+    sha = lambda data, at, less: pa.array([hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at, at[1:])], pa.string())
+    return sha(*_joined(_decimals(len(table)), ids, offs), 1), sha(*_joined(table, ids, offs), 0)
+
+
 def digest_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Digests of the ids as decimal text and of the decoded bytes, per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(ranks_path)
-        sha = lambda data, at, less: [hashlib.sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(at, at[1:])]
         for batch in batches:
             for lo, hi, ids, offs in _id_slices(batch, 2):
-                text = sha(*_joined(_decimals(len(table)), ids, offs), 1)
-                decoded = sha(*_joined(table, ids, offs), 0)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_digests(ids, offs, ranks_path)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     ship_package(encoded.sparkSession)
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

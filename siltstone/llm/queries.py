@@ -10,10 +10,9 @@ from siltstone.llm._runtime import crc32_bucket, table
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siltstone.llm.bpe_codec import digest_documents, encode_documents
+    from siltstone.llm.bpe_codec import encode_and_decode
 
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return digest_documents(encode_documents(table(spark, sf_dir, "documents"), ranks), ranks)
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

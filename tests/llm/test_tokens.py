@@ -88,6 +88,8 @@ def test_codec(spark, tiktoken_encode):
     decoded = sorted(bytes(r.decoded) for r in bpe_codec.decode_documents(encoded, RANKS).collect())
     assert decoded == sorted((t or "").encode() for t in TEXTS)
     digests = {(r.ids_sha256, r.decoded_sha256) for r in bpe_codec.digest_documents(encoded, RANKS).collect()}
+    at_once = [tuple(r) for r in bpe_codec.encode_and_decode(docs, RANKS).collect()]
+    assert sorted(at_once, key=str) == sorted((tuple(r) for r in bpe_codec.digest_documents(encoded, RANKS).collect()), key=str)
     sha = lambda b: hashlib.sha256(b).hexdigest()
     assert digests == {(sha(",".join(map(str, tiktoken_encode(t))).encode()), sha((t or "").encode())) for t in TEXTS}
 
