@@ -378,16 +378,22 @@ def q20_bloom_probe(spark, sf_dir):
     return tested.groupBy("segment", present.alias("present")).agg(F.count("*").alias("probes"), F.count_if("maybe").alias("positives"))
 
 
+def merged_both_ways(runs: list[DataFrame]) -> DataFrame:
+    """Merged runs with their deletes (mode keep) and without them (mode purge)."""
+    keep = compaction.merge_runs(runs, purge=False).select(F.lit("keep").alias("mode"), "k", "op", "v", "seq")
+    purge = compaction.merge_runs(runs, purge=True).select(F.lit("purge").alias("mode"), "k", "op", "v", "seq")
+    return keep.unionByName(purge)
+
+
 @query(
     f"""WITH {EVENTS}, kept AS (SELECT k, op, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS place FROM events_log WHERE op <> 'g' AND seq < 6000) WHERE place = 1)
 SELECT 'keep' AS mode, * FROM kept UNION ALL SELECT 'purge' AS mode, * FROM kept WHERE op = 'p'"""
 )
 def q21_compact_merge(spark, sf_dir):
+    """Two runs of the first 6,000 operations, as its SQL has them; ``q37_compact_merge_log`` merges the whole log."""
     log = events_log(spark, sf_dir)
     runs = [compaction.flush_segments(layout.by_position(log.where(part))).drop("segment") for part in ("seq < 3000", "seq >= 3000 AND seq < 6000")]
-    keep = compaction.merge_runs(runs, purge=False).select(F.lit("keep").alias("mode"), "k", "op", "v", "seq")
-    purge = compaction.merge_runs(runs, purge=True).select(F.lit("purge").alias("mode"), "k", "op", "v", "seq")
-    return keep.unionByName(purge)
+    return merged_both_ways(runs)
 
 
 def placement(spark, sf_dir) -> DataFrame:
@@ -559,3 +565,16 @@ def q35_range_half_open_numeric(spark, sf_dir):
 @query(f"WITH {EVENTS} SELECT k, v, op, seq AS valid_from, lead(seq) OVER (PARTITION BY k ORDER BY seq) AS valid_to FROM events_log WHERE op <> 'g'")
 def q36_version_history(spark, sf_dir):
     return replay.version_history(events_log(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ whole logs
+
+
+@query(
+    f"""WITH {EVENTS}, kept AS (SELECT k, op, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS place FROM events_log WHERE op <> 'g') WHERE place = 1)
+SELECT 'keep' AS mode, * FROM kept UNION ALL SELECT 'purge' AS mode, * FROM kept WHERE op = 'p'"""
+)
+def q37_compact_merge_log(spark, sf_dir):
+    """The even and the odd segments of the whole log as two runs."""
+    flushed = compaction.flush_segments(layout.by_position(events_log(spark, sf_dir)))
+    return merged_both_ways([flushed.where(F.col("segment") % 2 == odd).drop("segment") for odd in (0, 1)])
