@@ -48,10 +48,10 @@ def probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"))
 
 
-def range_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events log, every 97th operation's get a range of 20 from its key."""
+def range_log(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
+    """The events log, every get (or those at each ``every``-th place) a range of 20 from its key."""
     log = events_log(spark, sf_dir)
-    is_range = (F.col("op") == "g") & (F.col("seq") % 97 == 0)
+    is_range = (F.col("op") == "g") & (F.col("seq") % every == 0)
     end = (F.col("k").cast("bigint") + 20).cast("string")
     return log.select("seq", F.when(is_range, "r").otherwise(F.col("op")).alias("op"), "k", "v", F.when(is_range, end).alias("k2"))
 
@@ -264,7 +264,8 @@ RANGES = """versions AS (
 {RANGES.format(log="events_log")} SELECT seq, k, v FROM versions WHERE place = 1 AND op = 'p'"""
 )
 def q11_range_replay(spark, sf_dir):
-    return replay.range_replay(range_log(spark, sf_dir))
+    """Only the gets at every 97th place, as its SQL has them; ``q38_range_replay_log`` replays them all."""
+    return replay.range_replay(range_log(spark, sf_dir, every=97))
 
 
 @query(f"WITH {LIVE} SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT k FROM live)")
@@ -578,3 +579,12 @@ def q37_compact_merge_log(spark, sf_dir):
     """The even and the odd segments of the whole log as two runs."""
     flushed = compaction.flush_segments(layout.by_position(events_log(spark, sf_dir)))
     return merged_both_ways([flushed.where(F.col("segment") % 2 == odd).drop("segment") for odd in (0, 1)])
+
+
+@query(
+    f"""WITH {EVENTS}, ranges AS (SELECT seq, k, CAST(CAST(k AS BIGINT) + 20 AS VARCHAR) AS k2 FROM events_log WHERE op = 'g'),
+{RANGES.format(log="events_log")} SELECT seq, k, v FROM versions WHERE place = 1 AND op = 'p'"""
+)
+def q38_range_replay_log(spark, sf_dir):
+    """Every get of the log as a range."""
+    return replay.range_replay(range_log(spark, sf_dir))
