@@ -3,8 +3,9 @@
 Fixed patterns find assignments, access keys and hexadecimal runs.  Beyond them,
 a long run of key characters is a secret if a tokenizer spends many tokens on it:
 words and identifiers compress to several characters a token, random strings do
-not.  Digests of known lengths, UUIDs, plain numbers and identifiers made of
-words are excluded first.
+not.  Digests of known lengths, UUIDs and plain numbers are excluded first, and
+identifiers whose parts are words to the tokenizer (in small letters, as it has
+few capital ones) last; runs of letters alone are tested like all others.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start and
 then by kind as listed in ``KINDS``.  Null text is the empty text and has no span;
@@ -38,16 +39,25 @@ PARTS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/+=-](?:[A-Z]?[a-z]+|[A-
 CHARS_PER_TOKEN = 2.2
 
 
+#: Words of an identifier, and the letters from which one must be a word by itself.
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+LONG_WORD = 8
+
+
 def is_known(run: str) -> bool:
-    """Whether a run is a digest, a UUID, a number or an identifier of words."""
+    """Whether a run is a digest, a UUID or a number."""
     bare = run.strip("+/_=-")
     if HEXADECIMAL.fullmatch(bare) and len(bare) in DIGEST_LENGTHS or UUID.fullmatch(bare):
         return True
-    if not any(c.isdigit() for c in bare):
-        cases = sum(a.islower() != b.islower() for a, b in zip(bare, bare[1:]))
-        return cases <= len(bare) // 5
-    letters = sum(c.isalpha() for c in bare)
-    return letters < 4 or letters > 0.9 * len(bare) and bool(PARTS.fullmatch(bare))
+    return sum(c.isalpha() for c in bare) < 4
+
+
+def word_parts(run: str) -> list[str]:
+    """The words, in small letters, of a run that has the form of an identifier; else none."""
+    bare = run.strip("+/_=-")
+    if any(c.isdigit() for c in bare) and not (sum(c.isalpha() for c in bare) > 0.9 * len(bare) and PARTS.fullmatch(bare)):
+        return []
+    return [w.lower() for w in WORDS.findall(bare)]
 
 
 class Scanner:
@@ -75,7 +85,17 @@ class Scanner:
         if not runs:
             return []
         tokens = self.encode([m[0].encode() for m in runs])
-        return [(m.start(), 3, m.end()) for m, ids in zip(runs, tokens) if len(m[0]) < self.efficiency * len(ids)]
+        return [(m.start(), 3, m.end()) for m, ids in zip(runs, tokens) if len(m[0]) < self.efficiency * len(ids) and not self.is_words(m[0])]
+
+    def is_words(self, run: str) -> bool:
+        """Whether a run is an identifier of words: few tokens for all of them and for each long one."""
+        words = word_parts(run)
+        if not words:
+            return False
+        counts = [len(ids) for ids in self.encode([w.encode() for w in words])]
+        if sum(map(len, words)) < self.efficiency * sum(counts):
+            return False
+        return all(len(w) < LONG_WORD or len(w) >= self.efficiency * n for w, n in zip(words, counts))
 
     def spans(self, text: str) -> tuple[list, list]:
         base = self.base(text)
