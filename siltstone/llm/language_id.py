@@ -100,13 +100,16 @@ def _slots(h: np.ndarray, k: int) -> np.ndarray:
     return ((h + U64(k) * (h >> U64(33) | U64(1))) & U64((1 << SLOT_BITS) - 1)).astype(np.int64)
 
 
-def train(ids: list, texts: list, labels: list) -> dict[str, np.ndarray]:
-    """The bit-sliced filter of all languages, each's false-positive rate and own share of members."""
+def train(ids: list, texts: list, labels: list, sizes: dict | None = None) -> dict[str, np.ndarray]:
+    """The bit-sliced filter of all languages, each's false-positive rate and own share of members.
+
+    ``sizes``: the texts of each language, if those given are a sample of them.
+    """
     names = sorted(set(labels))
     counts, texts_of = [], []
     for name in names:
         own = [x for x, label in zip(texts, labels) if label == name and x]
-        texts_of.append(len(own))
+        texts_of.append(len(own) if sizes is None else sizes.get(name, 0))
         seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for _, _, data, offs in utf8_slices(pa.array(own, pa.string()), SLICE_BYTES):
             h, c = np.unique(gram_hashes(data, offs)[0], return_counts=True)
@@ -157,8 +160,9 @@ def predict(model: dict[str, np.ndarray], data: bytes, offs: np.ndarray) -> tupl
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """A model of (id, text, lang) rows; rows without text or language are left out."""
-    rows = labelled.select(labelled[id_col].alias("doc_id"), labelled[text_col].alias("text"), labelled[lang_col].alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL")
-    return train_once(sample_by_label(rows, TRAINING_TEXTS)[0], train)
+    rows = labelled.select(labelled[id_col].alias("doc_id"), labelled[text_col].alias("text"), labelled[lang_col].alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL AND text <> ''")
+    sample, sizes = sample_by_label(rows, TRAINING_TEXTS)
+    return train_once(sample, lambda ids, texts, given: train(ids, texts, given, sizes))
 
 
 def identify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
