@@ -43,7 +43,7 @@ def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4,096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), most=4096, end_id=2)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), most=4096, end_id=2, special=True)
 
 
 STAGES = [

@@ -8,6 +8,7 @@ of texts are cut by a few array operations over their code points.
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
@@ -175,6 +176,40 @@ def library_words(path: str):
     return encode
 
 
+@lru_cache(maxsize=8)
+def added_tokens(path: str) -> dict[bytes, int]:
+    """The strings that the file adds to its model, with their ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that match the plain text are known")
+    return {x["content"].encode(): x["id"] for x in added}
+
+
+def cut_added(data: bytes, offs: np.ndarray, added: dict[bytes, int], end_id: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as pieces without their added tokens: data, offsets, the id after each piece, each text's last piece.
+
+    The id after a text's last piece is the end id.
+    """
+    n = len(offs) - 1
+    if not any(x in data for x in added):
+        return data, offs, np.full(n, end_id, np.uint32), np.arange(n)
+    pattern = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+    pieces, after, last = [], [], []
+    for lo, hi in zip(offs.tolist(), offs[1:].tolist()):
+        for m in pattern.finditer(data, lo, hi):
+            pieces.append(data[lo : m.start()])
+            after.append(added[m[0]])
+            lo = m.end()
+        pieces.append(data[lo:hi])
+        after.append(end_id)
+        last.append(len(pieces) - 1)
+    cuts = np.concatenate(([0], np.cumsum([len(x) for x in pieces]))).astype(np.int64)
+    return b"".join(pieces), cuts, np.array(after, np.uint32), np.array(last, np.int64)
+
+
 def rank_words(path: str):
     """Encoder of single pre-tokens by the tiktoken library from a rank file."""
     import public_tokenizers

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from siltstone.llm._pretokens import SPACE, code_points, library_words, shared_encoder, token_starts
+from siltstone.llm._pretokens import SPACE, added_tokens, code_points, cut_added, library_words, shared_encoder, token_starts
 from siltstone.llm._runtime import binary_column, ship_package, utf8_slices
 
 GROUP_TOKENS = 1 << 20
@@ -59,16 +59,18 @@ def word_tokens(data: bytes, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return binary_column(data, cuts).filter(pa.array(keep)), np.searchsorted(starts[keep], firsts)
 
 
-def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[object, np.ndarray]]:
+def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special: bool) -> Iterator[tuple[object, np.ndarray]]:
     """(doc id, ids with the end id) of every row."""
     encoder = shared_encoder(library_words, path)
+    added = added_tokens(path) if special else {}
     for batch in batches:
         for lo, hi, data, offs in utf8_slices(batch.column(1), SLICE_BYTES):
+            data, offs, after, last = cut_added(data, offs, added, end_id)
             words, firsts = word_tokens(*normalized(data, offs))
             flat, at = encoder.encode_tokens(words)
             cuts = at[firsts]
-            ids = np.insert(flat, cuts[1:], np.uint32(end_id))
-            ends = cuts + np.arange(hi - lo + 1)
+            ids = np.insert(flat, cuts[1:], after)
+            ends = np.concatenate(([0], cuts[1:][last] + last + 1))
             for i, doc in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
                 yield doc, ids[ends[i] : ends[i + 1]]
 
@@ -108,8 +110,12 @@ _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 SCHEMA = ", ".join(f"{x} bigint" for x in _FIELDS)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: its document, place there, sequence and place there."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
+    """A row for each piece: its document, place there, sequence and place there.
+
+    ``special``: strings of the file's added tokens become their ids, as by the
+    library's defaults; otherwise they are ordinary text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
@@ -123,7 +129,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_i
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], list(_FIELDS)), len(sizes)
 
-        for doc, ids in tokenized(batches, tokenizer_path, end_id):
+        for doc, ids in tokenized(batches, tokenizer_path, end_id, special):
             group.append((doc, ids.astype("<u4", copy=False)))
             held += len(ids)
             if held >= GROUP_TOKENS:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm._pretokens import library_words, shared_encoder, split_texts
+from siltstone.llm._pretokens import added_tokens, cut_added, library_words, shared_encoder, split_texts
 from siltstone.llm._runtime import materialize, ship_package, shuffle_partitions, utf8_slices
 
 #: Fixed values of the format: ids a word and bits an id, by selector.
@@ -125,23 +125,25 @@ def decode_page(data: bytes, blocks: range | None = None) -> np.ndarray:
     return out
 
 
-def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(doc ids, ids, offsets with the end) of runs of whole texts, each text's ids with the end id."""
     encoder = shared_encoder(library_words, path)
+    added = added_tokens(path) if special else {}
     for batch in batches:
         for lo, hi, data, offs in utf8_slices(batch.column(1), SLICE_BYTES):
+            data, offs, after, last = cut_added(data, offs, added, end_id)
             tokens, firsts = split_texts(data, offs, "tokenizers")
             flat, at = encoder.encode_tokens(tokens)
             cuts = at[firsts]
-            ends = cuts[1:] + np.arange(1, hi - lo + 1)
-            ids = np.insert(flat, cuts[1:], np.uint32(end_id))
+            ends = cuts[1:][last] + last + 1
+            ids = np.insert(flat, cuts[1:], after)
             yield batch.column(0).slice(lo, hi - lo).to_pylist(), ids, np.concatenate(([0], ends))
 
 
 _PAGE = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def _pages(path: str, end_id: int):
+def _pages(path: str, end_id: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, page = TaskContext.get().partitionId(), 0
         docs, lengths, parts, held = [], [], [], 0
@@ -151,7 +153,7 @@ def _pages(path: str, end_id: int):
             row = ([shard], [page], [len(ids)], [docs], [np.concatenate(lengths)], [encode_page(ids)])
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _PAGE)], schema=_PAGE)
 
-        for own, ids, offs in tokenized(batches, path, end_id):
+        for own, ids, offs in tokenized(batches, path, end_id, special):
             docs += own
             lengths.append(np.diff(offs))
             parts.append(ids)
@@ -166,14 +168,18 @@ def _pages(path: str, end_id: int):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written pages, shards in ascending order of document id."""
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
+    """The written pages, shards in ascending order of document id.
+
+    ``special``: strings of the file's added tokens become their ids, as by the
+    library's defaults; otherwise they are ordinary text.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     ordered = source.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     schema = "shard int, page int, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
-    return materialize(ordered.mapInArrow(_pages(tokenizer_path, end_id), schema), "token-ids")
+    return materialize(ordered.mapInArrow(_pages(tokenizer_path, end_id, special), schema), "token-ids")
 
 
 def read_ids(pages: DataFrame) -> DataFrame:
