@@ -331,14 +331,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sketches = reps.select("doc_id", "n_shingles", "sketch")
     stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = materialize(confirmed(likely(stars, sketches, screen), source, width, percent), "links")
+    # An id with several texts joins all their classes.
+    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y")).where("NOT (x <=> y)").select("doc_id")
+    several = materialize(several, "several")
+    repeats = not several.isEmpty()
+    if repeats:
+        own = real.join(several, "doc_id", "left_semi").join(classes, same).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+        links = materialize(links.select("a", "b").unionByName(own), "links")
     found = components(links)
     left = materialize(leftover_pairs(buckets, found, sketches, screen), "leftover")
     if not left.isEmpty():
         more = materialize(confirmed(left, source, width, percent), "links")
         if not more.isEmpty():
-            found = components(links.unionByName(more))
+            found = components(links.unionByName(more.select(*links.columns)))
     member = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", *same).join(member, same, "left")
+    if repeats:
+        # A row without shingles has no class, but its id may have one elsewhere.
+        rows = rows.join(found.select("doc_id", F.col("component").alias("own")), "doc_id", "left").withColumn("component", F.coalesce("component", "own"))
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
