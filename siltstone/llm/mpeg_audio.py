@@ -272,11 +272,11 @@ def read_media(data: bytes | None) -> tuple:
     payload = payload_of(data, parsed) if parsed["rate"] == 16000 and "payload_bytes" in parsed["texts"] else b""
     n = int(parsed["texts"].get("payload_bytes", 0))
     seconds = parsed["samples"] / parsed["rate"] if parsed["rate"] else 0.0
-    return (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature_text(parsed), seconds, seek_offsets(parsed))
+    return (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature_text(parsed), seconds, parsed["offsets"])
 
 
 def read_audio(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Payload digests, checks, exact duration and seek offsets of a media column."""
+    """Payload digests, checks, exact duration and the offset of every frame of a media column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
