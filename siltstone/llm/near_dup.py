@@ -332,7 +332,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = materialize(confirmed(likely(stars, sketches, screen), source, width, percent), "links")
     # An id with several texts joins all their classes.
-    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y")).where("NOT (x <=> y)").select("doc_id")
+    ends = [f(c).alias(f"{name}_{c}") for c in same for f, name in ((F.min, "least"), (F.max, "most"))]
+    differ = " OR ".join(f"least_{c} <> most_{c}" for c in same)
+    several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*ends).where(differ).select("doc_id")
     several = materialize(several, "several")
     repeats = not several.isEmpty()
     if repeats:
