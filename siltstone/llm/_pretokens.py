@@ -210,13 +210,28 @@ def cut_added(data: bytes, offs: np.ndarray, added: dict[bytes, int], end_id: in
     return b"".join(pieces), cuts, np.array(after, np.uint32), np.array(last, np.int64)
 
 
-def rank_words(path: str):
-    """Encoder of single pre-tokens by the tiktoken library from a rank file."""
+def rank_encoding(path: str):
+    """The tiktoken library's encoding of a rank file."""
     import public_tokenizers
     import tiktoken
 
-    own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-    return lambda words: [own.encode_ordinary(w.decode("utf-8")) for w in words]
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
+def rank_words(path: str):
+    """Encoder of single pre-tokens by the tiktoken library from a rank file.
+
+    A pre-token is not split again: the library's own splitting fails on very long
+    runs of white space.
+    """
+    own = rank_encoding(path)
+    return lambda words: [own._encode_single_piece(w) for w in words]
+
+
+def rank_texts(path: str):
+    """Encoder of texts by the tiktoken library, splitting included."""
+    own = rank_encoding(path)
+    return lambda texts: [own.encode_ordinary(t.decode("utf-8")) for t in texts]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

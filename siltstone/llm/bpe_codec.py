@@ -4,7 +4,8 @@
    distinct words, with the word's positions in the block, to the word's bucket.
 2. A bucket encodes each distinct word once and sends its ids and positions back
    to the block.  A word that fills much of a block (over 1/64 of its tokens) is
-   salted over the buckets by block, so no bucket gathers a hot word's positions.
+   salted over the buckets by a hash of word and block, so no bucket gathers a hot
+   word's positions; the blocks' directories are dealt by a hash of the block.
 3. A block puts the ids in order of position and cuts them at its documents.
 
 Rows travel as one compressed value per (block, bucket), not one per token: the
@@ -59,6 +60,11 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+def salted(word: int, block: int, buckets: int) -> int:
+    """The bucket of a word (by its checksum) in one block."""
+    return zlib.crc32(block.to_bytes(8, "little"), word) % buckets
+
+
 def _varints(values: np.ndarray) -> np.ndarray:
     return varint_encode(values)[0]
 
@@ -66,16 +72,17 @@ def _varints(values: np.ndarray) -> np.ndarray:
 def _block_rows(block: int, docs: list, counts: np.ndarray, tokens: pa.ChunkedArray, buckets: int) -> Iterator[tuple[int, int, bool, bytes]]:
     """(bucket, block, is directory, payload) of one block of documents."""
     ids = np.array([0 if d is None else d for d in docs], "<i8")
-    yield block % buckets, block, True, _pack(ids, np.array([d is None for d in docs], np.uint8), _varints(counts))
+    yield salted(0, block, buckets), block, True, _pack(ids, np.array([d is None for d in docs], np.uint8), _varints(counts))
     if not len(tokens):
         return
     coded = tokens.combine_chunks().dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False)
     words = coded.dictionary.to_pylist()
     times = np.bincount(index, minlength=len(words))
-    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-    hot = times * HOT_SHARE > len(index)
-    bucket[hot] = (bucket[hot] + block) % buckets
+    checks = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    bucket = checks % buckets
+    for i in np.flatnonzero(times * HOT_SHARE > len(index)).tolist():
+        bucket[i] = salted(int(checks[i]), block, buckets)
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(words), np.uint64)
     rank[order] = np.arange(len(words), dtype=np.uint64)

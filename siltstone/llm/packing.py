@@ -11,6 +11,7 @@ A group is a run of documents of about ``GROUP_TOKENS`` tokens within a partitio
 packing needs no shuffle, and memory follows the group or the longest text.
 
 Defined cases: null text is the empty text, whose document is the end id alone;
+strings of the file's added tokens become their ids, as by the library's defaults;
 null and repeated doc_id are kept, a document for each row; other columns are not
 read.  Sequence numbers derive from the partition and are unique, not dense.
 """
@@ -18,9 +19,11 @@ read.  Sequence numbers derive from the partition and are unique, not dense.
 from __future__ import annotations
 
 import heapq
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,42 @@ SLICE_BYTES = 1_000_000
 LINEAR, QUADRATIC = 1.0, 1 / 24_576
 
 
+@lru_cache(maxsize=1)
+def unsettled() -> re.Pattern:
+    """Matches a character that the library may normalise otherwise than this Python.
+
+    Their tables follow different versions of Unicode.  So the library is asked for
+    every code point: its lower case, its composed form, what its decomposition
+    composes to, and its order among other combining marks.
+    """
+    from tokenizers import normalizers
+
+    plain = [chr(c) for c in range(0x110000) if c != 10]
+    kinds = list(map(unicodedata.category, plain))
+    found = {c for c, kind in zip(plain, kinds) if kind == "Cn"}
+    plain = [c for c, kind in zip(plain, kinds) if kind not in ("Cn", "Co", "Cs")]
+    # Marks of the combining classes 1, 220 and 230.
+    ordered = [(c, text) for c in plain if unicodedata.combining(c) for m in "\u0334\u0316\u0307" for text in (f"a{m}{c}", f"a{c}{m}")]
+    probes = [(c, c) for c in plain] + [(c, unicodedata.normalize("NFD", c)) for c in plain] + ordered
+
+    def differing(probes: list[tuple[str, str]], theirs, ours) -> set[str]:
+        text = "\n".join(x for _, x in probes)
+        return {c for (c, _), a, b in zip(probes, theirs(text).split("\n"), ours(text).split("\n")) if a != b}
+
+    found |= differing(probes[: len(plain)], normalizers.Lowercase().normalize_str, lambda x: x.replace("Σ", "σ").lower())
+    found |= differing(probes, normalizers.NFC().normalize_str, lambda x: unicodedata.normalize("NFC", x))
+    known = np.array(sorted(map(ord, found)))
+    starts = np.flatnonzero(np.diff(known, prepend=-2) != 1)
+    ends = np.append(starts[1:], len(known)) - 1
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(known[starts].tolist(), known[ends].tolist())) + "]")
+
+
 def normal_form(text: str) -> str:
     """The vocabulary's normal form, but for white space, which its splitting drops."""
+    if unsettled().search(text):
+        from tokenizers import normalizers
+
+        return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     return text.replace("Σ", "σ").lower()
@@ -59,10 +96,10 @@ def word_tokens(data: bytes, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return binary_column(data, cuts).filter(pa.array(keep)), np.searchsorted(starts[keep], firsts)
 
 
-def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special: bool) -> Iterator[tuple[object, np.ndarray]]:
+def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[object, np.ndarray]]:
     """(doc id, ids with the end id) of every row."""
     encoder = shared_encoder(library_words, path)
-    added = added_tokens(path) if special else {}
+    added = added_tokens(path)
     for batch in batches:
         for lo, hi, data, offs in utf8_slices(batch.column(1), SLICE_BYTES):
             data, offs, after, last = cut_added(data, offs, added, end_id)
@@ -110,12 +147,8 @@ _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"
 SCHEMA = ", ".join(f"{x} bigint" for x in _FIELDS)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
-    """A row for each piece: its document, place there, sequence and place there.
-
-    ``special``: strings of the file's added tokens become their ids, as by the
-    library's defaults; otherwise they are ordinary text.
-    """
+def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each piece: its document, place there, sequence and place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
@@ -129,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, most: int = 4096, end_i
             ]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], list(_FIELDS)), len(sizes)
 
-        for doc, ids in tokenized(batches, tokenizer_path, end_id, special):
+        for doc, ids in tokenized(batches, tokenizer_path, end_id):
             group.append((doc, ids.astype("<u4", copy=False)))
             held += len(ids)
             if held >= GROUP_TOKENS:

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm._pretokens import rank_words
+from siltstone.llm._pretokens import rank_texts
 from siltstone.llm._runtime import ship_package
 
 KINDS = ("assign", "access", "hex", "random")
@@ -64,7 +64,7 @@ class Scanner:
     """Finds spans; ``efficiency`` is the least characters a token of what isn't random."""
 
     def __init__(self, ranks_path: str | None, efficiency: float = CHARS_PER_TOKEN):
-        self.encode = rank_words(ranks_path) if ranks_path else None
+        self.encode = rank_texts(ranks_path) if ranks_path else None
         self.efficiency = efficiency
 
     def base(self, text: str) -> list[tuple[int, int, int]]:

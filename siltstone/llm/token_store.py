@@ -10,8 +10,9 @@ leave a marked word and stand in a list of escapes.
 shard per partition, to the shared folder; ``read_ids`` reads the pages back.
 
 Defined cases: null text is the empty text; every document has the end id at
-least; null doc_id comes first; rows of one doc_id are ordered by text and each
-is a document; other columns are not read.  Memory follows a page (about 256,000
+least; strings of the file's added tokens become their ids, as by the library's
+defaults; null doc_id comes first; rows of one doc_id are ordered by a hash of the
+text and each is a document; other columns are not read.  Memory follows a page (about 256,000
 ids) or the longest text.
 """
 
@@ -125,10 +126,10 @@ def decode_page(data: bytes, blocks: range | None = None) -> np.ndarray:
     return out
 
 
-def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(doc ids, ids, offsets with the end) of runs of whole texts, each text's ids with the end id."""
     encoder = shared_encoder(library_words, path)
-    added = added_tokens(path) if special else {}
+    added = added_tokens(path)
     for batch in batches:
         for lo, hi, data, offs in utf8_slices(batch.column(1), SLICE_BYTES):
             data, offs, after, last = cut_added(data, offs, added, end_id)
@@ -143,7 +144,7 @@ def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, special
 _PAGE = pa.schema([("shard", pa.int32()), ("page", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def _pages(path: str, end_id: int, special: bool):
+def _pages(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, page = TaskContext.get().partitionId(), 0
         docs, lengths, parts, held = [], [], [], 0
@@ -153,7 +154,7 @@ def _pages(path: str, end_id: int, special: bool):
             row = ([shard], [page], [len(ids)], [docs], [np.concatenate(lengths)], [encode_page(ids)])
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _PAGE)], schema=_PAGE)
 
-        for own, ids, offs in tokenized(batches, path, end_id, special):
+        for own, ids, offs in tokenized(batches, path, end_id):
             docs += own
             lengths.append(np.diff(offs))
             parts.append(ids)
@@ -168,18 +169,16 @@ def _pages(path: str, end_id: int, special: bool):
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
-    """The written pages, shards in ascending order of document id.
-
-    ``special``: strings of the file's added tokens become their ids, as by the
-    library's defaults; otherwise they are ordinary text.
-    """
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written pages, shards in ascending order of document id."""
     spark = docs.sparkSession
     ship_package(spark)
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    ordered = source.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # The hash splits the rows of one id, or of none, over partitions.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
+    ordered = source.repartitionByRange(shuffle_partitions(spark), *order[:2]).sortWithinPartitions(*order)
     schema = "shard int, page int, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
-    return materialize(ordered.mapInArrow(_pages(tokenizer_path, end_id, special), schema), "token-ids")
+    return materialize(ordered.mapInArrow(_pages(tokenizer_path, end_id), schema), "token-ids")
 
 
 def read_ids(pages: DataFrame) -> DataFrame:

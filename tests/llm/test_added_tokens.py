@@ -25,7 +25,7 @@ def library(path):
 
 
 def test_store(spark):
-    rows = token_store.read_ids(token_store.write_ids(documents(spark, AWKWARD).repartition(2), BYTES, special=True)).collect()
+    rows = token_store.read_ids(token_store.write_ids(documents(spark, AWKWARD).repartition(2), BYTES)).collect()
     encode = library(BYTES)
     expected = {i: zlib.crc32(np.array(encode(t, 0), "<u4").tobytes()) for i, t in enumerate(AWKWARD)}
     assert {r.doc_id: r.ids_crc32 for r in rows} == expected
@@ -36,7 +36,7 @@ def test_store(spark):
 def test_packing():
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(AWKWARD))), pa.array(AWKWARD)], ["doc_id", "text"])
     encode = library(WORDS)
-    assert [(i, ids.tolist()) for i, ids in packing.tokenized(iter([batch]), WORDS, 2, True)] == [(i, encode(t, 2)) for i, t in enumerate(AWKWARD)]
+    assert [(i, ids.tolist()) for i, ids in packing.tokenized(iter([batch]), WORDS, 2)] == [(i, encode(t, 2)) for i, t in enumerate(AWKWARD)]
 
 
 @pytest.mark.parametrize("name", ["op4_token_store", "op6_packing", "pipeline"])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siltstone.llm import bpe_codec, packing, token_store
-from siltstone.llm._pretokens import WordEncoder, read_ranks, split_texts
+from siltstone.llm._pretokens import WordEncoder, rank_words, read_ranks, split_texts
 from siltstone.llm._runtime import ragged_take, utf8_slices, varint_decode, varint_encode
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,7 +30,6 @@ def library(path):
     import tokenizers
 
     own = tokenizers.Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return lambda text, end: own.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -94,12 +95,64 @@ def test_codec(spark, tiktoken_encode):
     assert digests == {(sha(",".join(map(str, tiktoken_encode(t))).encode()), sha((t or "").encode())) for t in TEXTS}
 
 
-def test_codec_salts_a_hot_word(spark, tiktoken_encode):
+def test_codec_with_a_hot_word(spark, tiktoken_encode):
     texts = ["hot " * 5000 + f"tail{i}" for i in range(8)]
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe_codec.encode_documents(documents(spark, texts).repartition(4), RANKS).collect()}
     assert got == {i: tiktoken_encode(t) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("buckets", [4, 200, 1024])
+def test_hot_words_and_directories_spread_over_buckets(buckets):
+    """Blocks that are each the first of its partition."""
+    tokens = pa.chunked_array([pa.array([t.encode() for t in split(["hot hot hot hot"])[0]], pa.large_binary())])
+    hot, directories = Counter(), Counter()
+    for partition in range(3000):
+        for bucket, _, is_directory, _ in bpe_codec._block_rows(partition << 32, [1], np.array([4]), tokens, buckets):
+            (directories if is_directory else hot)[bucket] += 1
+    assert len(directories) == len(hot) == buckets or buckets == 1024 and min(len(directories), len(hot)) > 900
+    # Two hot words a block ("hot" and " hot").
+    assert max(directories.values()) < 3 * 3000 / buckets + 10 and max(hot.values()) < 3 * 6000 / buckets + 10
+
+
+def test_very_long_runs(spark):
+    """The library's own splitting fails on a million blanks; its encoding of one piece does not."""
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
+    texts = ["a" + " " * 1_500_000 + "b", "\n" * 1_000_001, "ab" * 300_000, " " * 700_000]
+    got = {r.doc_id: r for r in bpe_codec.encode_and_decode(documents(spark, texts), RANKS).collect()}
+    for i, text in enumerate(texts):
+        ids = [x for piece in PATTERN.findall(text) for x in own._encode_single_piece(piece)]
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def random_texts(n, seed):
+    """Texts of characters of all planes, also of Unicode versions that this Python does not know."""
+    rng = random.Random(seed)
+    common = list("abcAB 's'T'll 12 é\n\t \u0301ΣσςİıẞßÅ가각日ᄀ") + ["<|endoftext|>", "<|startoftext|>", "\u0307", "\u08d1", *map(chr, (0x1C8A, 0xA7CB, 0xA7CE, 0xA7DC, 0x10D65, 0x16EA1, 0x16EB7, 0x105C9, 0x16121))]
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    named = [c for c in points if unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    return ["".join(rng.choice(common) if rng.random() < 0.6 else chr(rng.choice(named if rng.random() < 0.8 else points)) for _ in range(rng.randrange(20))) for _ in range(n)]
+
+
+def test_random_texts_are_encoded_as_by_the_libraries(tiktoken_encode):
+    texts = random_texts(20_000, 9)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    encode = library(WORDS)
+    assert [(i, ids.tolist()) for i, ids in packing.tokenized(iter([batch]), WORDS, 2)] == [(i, encode(t, 2)) for i, t in enumerate(texts)]
+    encode = library(BYTES)
+    for docs, ids, offs in token_store.tokenized(iter([batch]), BYTES, 0):
+        for k, i in enumerate(docs):
+            assert ids[offs[k] : offs[k + 1]].tolist() == encode(texts[i], 0)
+    encoder = WordEncoder(rank_words(RANKS))
+    for lo, hi, data, offs in utf8_slices(batch.column(1), 50_000):
+        tokens, firsts = split_texts(data, offs, "tiktoken")
+        flat, at = encoder.encode_tokens(tokens)
+        for i in range(lo, hi):
+            assert flat[at[firsts[i - lo]] : at[firsts[i - lo + 1]]].tolist() == tiktoken_encode(texts[i])
+
+
 def test_empty_tables(spark):
     empty = documents(spark, []).limit(0)
     assert bpe_codec.encode_documents(empty, RANKS).isEmpty()
