@@ -134,9 +134,9 @@ class WordEncoder:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         young, old = self.young, self.old
-        out = [young.get(w) for w in words]
-        missing = [i for i, x in enumerate(out) if x is None]
-        if missing:
+        out = list(map(young.get, words))
+        if None in out:
+            missing = [i for i, x in enumerate(out) if x is None]
             new = []
             for i in missing:
                 if (x := old.get(words[i])) is None:

@@ -2,8 +2,8 @@
 
 Cut lineage goes to Parquet tables below ``spark.checkpoint.dir`` (one folder
 that every executor sees), so a lost executor costs a re-read and never a
-recomputation that could differ.  Nothing here writes to a machine-local folder
-unless the session names no checkpoint folder at all, as in unit tests.
+recomputation that could differ.  Without that setting a local session writes to a
+folder of its own and any other is refused.
 """
 
 from __future__ import annotations
@@ -24,12 +24,16 @@ ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 
 
+def _is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local")
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that do not share our path."""
+    """Make this package importable in Python workers of other machines."""
     sc = spark.sparkContext
-    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(ROOT) in paths or Path.cwd() == ROOT or sc.applicationId in _shipped:
+    if _is_local(spark) and (str(ROOT) in map(os.path.abspath, os.environ.get("PYTHONPATH", "").split(os.pathsep)) or Path.cwd() == ROOT) or sc.applicationId in _shipped:
         return
+    # The archive is served by the driver to every executor.
     archive = Path(tempfile.mkdtemp(prefix="siltstone")) / "siltstone.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for p in sorted((ROOT / "siltstone").rglob("*.py")):
@@ -39,9 +43,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: the session's own, else a new local one (tests)."""
+    """The folder for cut lineage: the session's own, else a new local one in a local session."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    if not found and not _is_local(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = getattr(shared_dir, "local", None) or tempfile.mkdtemp(prefix="siltstone-shared")
         shared_dir.local = found
@@ -64,8 +70,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has, in either case."""
+    taken = {c.lower() for c in columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(len(columns) + 1))) if x not in taken)
+
+
+def named(columns: list[str]) -> list:
+    """Columns by names that may hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def crc32_bucket(column, modulus: int):
-    """crc32 of the id's decimal text, as the held-out splits are defined."""
+    """crc32 of the id's decimal text modulo a number, as the held-out splits are defined; null ids have none."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 

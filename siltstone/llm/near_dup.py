@@ -25,6 +25,7 @@ slot bytes with one of 1e-8.
 Defined cases: texts that are null or without words have no shingles and link with
 nothing; null doc_id links with nothing; rows of one doc_id are one node and are
 returned as often as they come; ties do not matter; other columns are not read.
+``drop_near_duplicates`` takes every row for a document, whatever its id.
 """
 
 from __future__ import annotations
@@ -33,17 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._hashing import GOLDEN, U64, mix, shingle_sets
-from siltstone.llm._runtime import materialize, ship_package, shuffle_partitions, utf8_slices
+from siltstone.llm._runtime import free_name, materialize, named, ship_package, shuffle_partitions, utf8_slices
+from siltstone.llm._skew import HOT, bits_for, bitmap, flagged, only_keys, spread_join
 
 SLOTS, BAND = 128, 4
 SLICE_BYTES = 2_000_000
 PARITY_BITS = 2048
 #: Members of a hot text's chunk, members outside the main component of a block, members of a salted part.
-CHUNK, BLOCK, SALT = 32, 256, 4096
+CHUNK, BLOCK, SALT = 32, 256, 1024
+#: Links that one task groups by itself.
+FEW_LINKS = 500_000
 
 
 def superminhash(elements: np.ndarray, offs: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -131,13 +136,14 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch binary, bands array<bigint>"
+_SIGNED = "row bigint, doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, sketch binary, bands array<bigint>"
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """Set size, fingerprint, sketch and band keys of every row of (doc_id, text)."""
+    """Number, set size, fingerprint, sketch and band keys of every row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, offs in utf8_slices(batch.column(1), SLICE_BYTES):
                 sets, at = shingle_sets(data, offs, width)
@@ -154,15 +160,16 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     for i, s, b in zip(full.tolist(), sketched, band_keys(signed)):
                         sketches[i], bands[i] = s.tobytes(), b
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "f1", "f2", "sketch", "bands"],
+                    [pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo), pa.array(sizes), *(pa.array(f.view(np.int64)) for f in prints), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "n_shingles", "f1", "f2", "sketch", "bands"],
                 )
+                row += hi - lo
 
     return docs.mapInArrow(run, _SIGNED)
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, screen: Screen) -> DataFrame:
-    """Pairs (a, b) whose sketches allow the similarity.  ``sketches``: (doc_id, n_shingles, sketch)."""
+    """Pairs (a, b) of a written table whose sketches allow the similarity.  ``sketches``: (doc_id, n_shingles, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,22 +179,36 @@ def likely(pairs: DataFrame, sketches: DataFrame, screen: Screen) -> DataFrame:
                 a, b = (part.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
                 yield part.select([0, 1]).filter(pa.array(screen(x, a, y, b)))
 
-    a = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("p"))
-    b = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("q"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
+    near = only_keys(sketches, ["doc_id"], _ends(pairs), 2 * pairs.count())
+    a = near.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("p"))
+    b = near.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("q"))
+    met = spread_join(pairs, a, ["a"], _frequent(pairs, "a"))
+    return spread_join(met, b, ["b"], _frequent(pairs, "b")).select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+
+
+def _frequent(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with ``100 * intersection >= percent * union`` on their full sets.
+    """Pairs of a written table with ``100 * intersection >= percent * union`` on their full sets.
 
     Every a's partners are split into chunks of about ``CHUNK``; a chunk streams a's
-    text and then its partners', so nothing gathers a hot text's partners.
+    text and then its partners', so nothing gathers a hot text's partners.  Only texts
+    of pairs are shuffled.
     """
     spark = docs.sparkSession
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
+    dealt = spread_join(pairs, counts, ["a"], _frequent(pairs, "a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     routes = dealt.select(F.col("a").alias("doc_id"), "a", "chunk", F.lit(0).alias("side")).distinct().unionByName(dealt.select(F.col("b").alias("doc_id"), "a", "chunk", F.lit(1).alias("side")))
-    rows = docs.join(routes, "doc_id").select("a", "chunk", "side", "doc_id", "text").repartition(shuffle_partitions(spark), "a", "chunk").sortWithinPartitions("a", "chunk", "side")
+    routes = materialize(routes, "routes")
+    texts = only_keys(docs.where("doc_id IS NOT NULL"), ["doc_id"], routes.select("doc_id"), routes.count())
+    rows = spread_join(routes, texts, ["doc_id"], _frequent(routes, "doc_id"))
+    rows = rows.select("a", "chunk", "side", "doc_id", "text").repartition(shuffle_partitions(spark), "a", "chunk").sortWithinPartitions("a", "chunk", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, base = None, []
@@ -247,23 +268,27 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component): the least id that each linked id reaches.
 
-    Links are first contracted by union-find within partitions; then large and small
-    stars alternate until nothing changes, in a number of rounds that grows with the
-    logarithm of the longest path.
+    Links are first contracted by union-find within partitions.  While they are more
+    than one task should hold, large and small stars alternate, until nothing changes
+    or few are left; the number of rounds grows with the logarithm of the longest path.
     """
     edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_forest, "u bigint, v bigint"), "forest")
     state = None
     while True:
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        if now.n <= FEW_LINKS:
+            edges = materialize(edges.repartition(1).mapInArrow(_forest, "u bigint, v bigint"), "forest")
+            break
+        state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(spread_join(both, least, ["u"], _frequent(both, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = spread_join(large, least, ["u"], _frequent(large, "u")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
-        state = now
+    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
 
 
 def leftover_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, screen: Screen) -> DataFrame:
@@ -274,12 +299,16 @@ def leftover_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, sc
     salted so that a large bucket spreads over tasks.
     """
     spark = buckets.sparkSession
-    members = buckets.where("size > 2 AND doc_id <> leader").join(found, "doc_id", "left").select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    members = members.join(mixed, "key")
-    per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), (F.sum("n") - F.max("n")).alias("minor"))
-    rows = members.join(main, "key").join(sketches, "doc_id")
+    parts = F.ceil(F.col("size") / HOT).cast("int")
+    members = buckets.where("size > 2 AND doc_id <> leader").join(found, "doc_id", "left")
+    members = members.select("key", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
+    per = members.groupBy("key", "size", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("key", "size").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
+    # A bucket's members meet its main component by parts.
+    main = main.select("key", "main", "minor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    mixed = materialize(members.join(main, ["key", "part"]).drop("part"), "mixed")
+    near = only_keys(sketches, ["doc_id"], mixed.select("doc_id"), mixed.count())
+    rows = mixed.join(near, "doc_id")
     blocks = F.ceil(F.col("minor") / BLOCK).cast("int")
     salts = F.ceil(F.col("size") / SALT).cast("int")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
@@ -314,29 +343,32 @@ def leftover_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, sc
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; kept is the component's least id."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", unique: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; kept is the component's least id.
+
+    ``unique``: no id comes twice, so ids need not be searched for several texts.
+    """
     ship_package(docs.sparkSession)
     screen = Screen(percent)
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     signed = materialize(signatures(source, width), "signatures")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["n_shingles", "f1", "f2"]
-    classes = real.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = real.join(classes.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
-    banded = reps.select("doc_id", F.explode("bands").alias("key")).distinct()
+    classes = real.groupBy(*same).agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("members"))
+    classes = materialize(classes.select(*same, F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row"), "members"), "classes")
+    banded = real.select("row", "doc_id", "bands").join(classes.select("row"), "row", "left_semi").select("doc_id", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(banded.join(leaders, "key"), "buckets")
-    sketches = reps.select("doc_id", "n_shingles", "sketch")
-    stars = buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(confirmed(likely(stars, sketches, screen), source, width, percent), "links")
+    leaders = materialize(leaders, "leaders")
+    buckets = materialize(spread_join(banded, leaders, ["key"], leaders.where(F.col("size") > HOT).select("key")), "buckets")
+    sketches = real.select("doc_id", "n_shingles", "sketch")
+    stars = materialize(buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    links = materialize(confirmed(materialize(likely(stars, sketches, screen), "likely"), source, width, percent), "links")
     # An id with several texts joins all their classes.
     ends = [f(c).alias(f"{name}_{c}") for c in same for f, name in ((F.min, "least"), (F.max, "most"))]
     differ = " OR ".join(f"least_{c} <> most_{c}" for c in same)
     several = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*ends).where(differ).select("doc_id")
-    several = materialize(several, "several")
-    repeats = not several.isEmpty()
+    several = several.limit(0) if unique else materialize(several, "several")
+    repeats = not unique and not several.isEmpty()
     if repeats:
         own = real.join(several, "doc_id", "left_semi").join(classes, same).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
         links = materialize(links.select("a", "b").unionByName(own), "links")
@@ -347,7 +379,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         if not more.isEmpty():
             found = components(links.unionByName(more.select(*links.columns)))
     member = classes.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    rows = signed.select("doc_id", *same).join(member, same, "left")
+    rows = spread_join(signed.select("row", "doc_id", *same), member, same, classes.where(F.col("members") > HOT).select(*same), "left")
     if repeats:
         # A row without shingles has no class, but its id may have one elsewhere.
         rows = rows.join(found.select("doc_id", F.col("component").alias("own")), "doc_id", "left").withColumn("component", F.coalesce("component", "own"))
@@ -356,13 +388,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, of one document of each group: that of the least id.
+    """The rows, with all their columns, of one document of each group of linked ones.
 
-    Of several rows of one id the one whose text sorts first stays; rows without id stay.
+    Every row is a document of its own, whatever its id, so only a row whose text is
+    linked with that of a row which stays goes.  Of a group the row of the least id
+    stays, null being the largest, and of that id the one whose text hashes least.
     """
-    found = near_duplicates(docs, width, percent, id_col, text_col)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    order = Window.partitionBy(id_col).orderBy(text_col)
-    place = "__place__"
-    left = docs.join(gone, id_col, "left_anti").withColumn(place, F.row_number().over(order))
-    return left.where((F.col(place) == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    row = free_name(docs.columns, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, width, percent, row, text_col, unique=True)
+    ranks = numbered.select(F.col(row).alias("doc_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "hash", F.col("doc_id").alias("row"))
+    groups = found.where("n_shingles > 0").select("doc_id", "component_id").join(ranks, "doc_id").select("doc_id", "component_id", rank.alias("rank"))
+    groups = materialize(groups, "groups")
+    first = groups.groupBy("component_id").agg(F.min("rank").alias("first"), F.count("*").alias("members")).where("members > 1")
+    first = materialize(first, "groups")
+    gone = spread_join(groups, first, ["component_id"], first.where(F.col("members") > HOT).select("component_id")).where("doc_id <> first.row").select(F.col("doc_id").alias(row))
+    gone = materialize(gone, "gone")
+    # Rows that are certainly not gone need no shuffle.
+    bits, maybe = bits_for(gone.count()), free_name(numbered.columns, "maybe")
+    rows = flagged(numbered, [row], bitmap(gone, [row], bits), bits, maybe)
+    return rows.where(~F.col(maybe)).unionByName(rows.where(maybe).join(gone, row, "left_anti")).select(*named(docs.columns))

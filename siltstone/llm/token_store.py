@@ -78,13 +78,20 @@ def encode_page(ids: np.ndarray) -> bytes:
         at[alive] += COUNTS[s]
         alive = alive[at[alive] < size[alive]]
     row, start, sel = (np.concatenate(x) for x in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 3
-    order = np.lexsort((start, row))
-    row, start, sel = row[order], start[order], sel[order].astype(np.int64)
+    flat = grid.ravel()
+    first = row * wide + start
+    order = np.argsort(first)
+    first, sel = first[order], sel[order].astype(np.int64)
     words = sel.astype(np.uint64) << np.uint64(60)
+    by = np.argsort(sel.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(sel[by], np.arange(17))
     for s in range(2, 16):
-        m = np.flatnonzero(sel == s)
-        for k in range(COUNTS[s]) if len(m) else ():
-            words[m] |= grid[row[m], start[m] + k] << np.uint64(k * WIDTHS[s])
+        if len(m := by[ends[s] : ends[s + 1]]):
+            at = first[m]
+            packed = words[m]
+            for k in range(COUNTS[s]):
+                packed |= flat.take(at + k) << np.uint64(k * WIDTHS[s])
+            words[m] = packed
     offsets = np.zeros(rows + 1, "<u4")
     np.cumsum(np.bincount(row, minlength=rows), out=offsets[1:])
     head = MAGIC + struct.pack("<IQII", BLOCK, n, len(words), len(escaped))

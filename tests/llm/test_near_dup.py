@@ -173,6 +173,66 @@ def test_null_repeated_and_no_ids(spark):
     assert got == sorted([(3, 3, True), (3, 3, True), (None, None, True), (None, None, True), (9, 9, True)], key=str)
     left = near_dup.drop_near_duplicates(docs)
     assert left.columns == docs.columns
-    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted([("3", text), ("None", text), ("None", "None"), ("9", "alone")])
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted([("3", text), ("None", "None"), ("9", "alone")])
     empty = documents(spark, []).limit(0)
     assert near_dup.near_duplicates(empty).isEmpty() and near_dup.drop_near_duplicates(empty).isEmpty()
+
+
+def test_only_linked_rows_go(spark):
+    """Rows of one id with different texts all stay, and helper columns overwrite none of the table's."""
+    rows = [(1, "one two three four five six", 9), (1, "a totally different text of words", 8), (2, "one two three four five SIX", 7), (None, "lone row of no id at all", 6)]
+    docs = spark.createDataFrame([(i, t, *[x] * 7) for i, t, x in rows], "doc_id bigint, text string, row int, Maybe int, chunk int, marks int, __place__ int, `a.b` int, salt int")
+    left = near_dup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(tuple(r)[1:] for r in left.collect()) == sorted((t, *[x] * 7) for i, t, x in rows if i != 2)
+
+
+def test_rows_of_one_id_and_text(spark):
+    docs = documents(spark, ["x y z", "x  y Z", "x y z", "other"], [4, 4, 4, 4])
+    kept = [r.text for r in near_dup.drop_near_duplicates(docs).collect()]
+    assert len(kept) == 2 and "other" in kept
+
+
+def test_components_by_stars(spark, monkeypatch):
+    """The rounds between tasks, with a hub, come to the same as one task."""
+    monkeypatch.setattr(near_dup, "FEW_LINKS", 3)
+    monkeypatch.setattr(near_dup, "HOT", 10)
+    test_components(spark)
+
+
+def test_groups_with_salted_keys(spark, monkeypatch):
+    """Every join that salts hot keys, on keys that are hot from three rows on."""
+    monkeypatch.setattr(near_dup, "HOT", 2)
+    monkeypatch.setattr(near_dup, "SALT", 4)
+    monkeypatch.setattr(near_dup, "CHUNK", 2)
+    base = [f"w{i}" for i in range(60)]
+    copies = []
+    for k in range(25):
+        copy = list(base)
+        copy[k] = "x"
+        copies.append(" ".join(copy))
+    texts = [*copies, *["same words in every one of them"] * 9, *corpus(5)]
+    ids = random.Random(5).sample(range(1000), len(texts))
+    rows = near_dup.near_duplicates(documents(spark, texts, ids).repartition(3), 4, 80).collect()
+    sizes, roots = brute(list(zip(ids, texts)), 4, 80)
+    assert {r.doc_id: r.n_shingles for r in rows} == dict(zip(ids, sizes))
+    assert {r.doc_id: r.component_id for r in rows} == roots
+
+
+def test_bitmaps_and_salted_joins(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.llm import _skew
+
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") % 7).alias("k"))
+    wanted = rows.where("id % 3 = 0")
+    for count in (10, 1000, 10**9):
+        found = {r.id for r in _skew.only_keys(rows, ["id"], wanted.select("id"), count).collect()}
+        assert found >= set(range(0, 3000, 3))
+        assert len(found) < 1200 if count > 10 else True
+    assert _skew.only_keys(rows, ["id"], wanted.where("false").select("id"), 0).isEmpty()
+    names = spark.createDataFrame([(k, f"n{k}") for k in (0, 1, 2, 5)], "k bigint, name string")
+    hot = spark.createDataFrame([(1,), (2,)], "k bigint")
+    for how in ("inner", "left"):
+        spread = sorted(tuple(r) for r in _skew.spread_join(rows, names, ["k"], hot, how).select("id", "k", F.coalesce("name", F.lit(""))).collect())
+        assert spread == sorted(tuple(r) for r in rows.join(names, "k", how).select("id", "k", F.coalesce("name", F.lit(""))).collect())

@@ -1,4 +1,4 @@
-"""Rows of one doc_id are one node, also with different texts."""
+"""Rows of one doc_id are one node, also with different texts, but each a document where duplicates go."""
 
 from __future__ import annotations
 
@@ -16,4 +16,5 @@ def test_an_id_connects_its_texts(spark):
     one = {(i, 1, i == 1) for i in (1, 5, 7, 8, 9, 12)}
     assert got == one | {(20, 20, True), (None, None, True), (30, 30, True)}
     left = sorted((str(r.doc_id), str(r.text)) for r in near_dup.drop_near_duplicates(docs).collect())
-    assert left == sorted([("1", A), ("20", "a b"), ("None", A), ("30", "None")])
+    # Rows are documents there: one of each text stays, and all without words.
+    assert left == sorted([("1", A), ("5", B), ("7", C), ("8", "None"), ("20", "a b"), ("20", "c d"), ("30", "None")])
