@@ -1,4 +1,4 @@
-"""Bounded samples and single-task training shared by the two classifiers."""
+"""Bounded samples and the last, single task of training, shared by the two classifiers."""
 
 from __future__ import annotations
 
@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 from siltstone.llm._runtime import ship_package
 
 
+#: Labels that a classifier may tell apart.
+MOST_LABELS = 10_000
+
+
 def sample_by_label(rows: DataFrame, per_label: int) -> tuple[DataFrame, dict]:
     """Rows of (doc_id, label, ...), about ``per_label`` at most of each label, and each label's size.
 
     A row is chosen by a hash of its id, so the choice depends neither on the order
-    nor on the partitions.  The number of labels is taken to be small.
+    nor on the partitions.
     """
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(found) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    sizes = {r["label"]: r["n"] for r in found}
     if not sizes:
         return rows.where(F.lit(False)), sizes
     share = F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (str(label), min(1.0, per_label / n))))
@@ -27,22 +34,19 @@ def sample_by_label(rows: DataFrame, per_label: int) -> tuple[DataFrame, dict]:
     return rows.where(draw < F.try_element_at(share, F.col("label").cast("string"))), sizes
 
 
-def train_once(sample: DataFrame, train: Callable[[list, list, list], dict[str, np.ndarray]]) -> bytes:
-    """The model that ``train(ids, texts, labels)`` makes of the sample, in one executor task.
+def finish_once(rows: DataFrame, build: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]]) -> bytes:
+    """The model that ``build`` makes of all rows, statistics of bounded size, in one executor task.
 
-    Rows are ordered by id first, so a repeated task makes the same model.  An empty
-    sample is trained on, too.
+    It must not depend on the rows' order.  No rows at all are built from, too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"] or "", str(r["label"])))
-        model = train([r["doc_id"] for r in rows], [r["text"] for r in rows], [r["label"] for r in rows])
         out = io.BytesIO()
-        np.savez(out, **model)
+        np.savez(out, **build(batches))
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
-    ship_package(sample.sparkSession)
-    made = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    ship_package(rows.sparkSession)
+    made = rows.repartition(1).mapInArrow(run, "model binary").first()
     return bytes(made["model"]) if made else next(run(iter(()))).column(0)[0].as_py()
 
 

@@ -1,9 +1,9 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
-Training keeps, for each language, the n-grams that are frequent in it and not
-much more frequent elsewhere.  All languages share one filter of slots; a slot is
-a bitmask with a bit for each language, and a language's n-gram sets its bit in K
-slots.  A look-up ANDs the masks of an n-gram's K slots and so returns all
+Training counts the n-grams of each language where the texts are and keeps, for each
+language, all those that are not much more frequent elsewhere.  All languages share
+one filter of slots, sized by the largest language; a slot is a bitmask with a bit
+for each language, and a language's n-gram sets its bit in K slots.  A look-up ANDs the masks of an n-gram's K slots and so returns all
 languages that contain it at once.
 
 A text's n-grams are looked up in whole arrays; each language's hits are its
@@ -27,16 +27,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siltstone.llm._hashing import GOLDEN, U64, mix
 from siltstone.llm._pretokens import LETTER, char_classes, code_points
 from siltstone.llm._runtime import kept_rows, ship_package, utf8_slices
-from siltstone.llm._training import load_model, sample_by_label, train_once
+from siltstone.llm._training import finish_once, load_model, sample_by_label
 
 ORDERS = (3, 4)
-#: Texts of each language that training reads at most (by a hash of the id), and n-grams that it keeps.
-TRAINING_TEXTS, KEPT_GRAMS = 1500, 30_000
-SLOT_BITS, HASHES = 20, 4
+#: Texts of each language that training reads at most, chosen by a hash of the id.
+TRAINING_TEXTS = 1500
+#: Slots of the smallest filter, as a power of two, slots for each n-gram of a language, and hashes of one.
+SLOT_BITS, SLOTS_A_GRAM, HASHES = 20, 32, 4
 #: An n-gram belongs to a language where it is at least so frequent, relative to the language that has it most.
 RELATIVE = 0.4
 SLICE_BYTES = 1_000_000
@@ -95,44 +97,60 @@ def gram_hashes(data: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(hashes)[order], np.searchsorted(owner[order], np.arange(n + 1)), lettered
 
 
-def _slots(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th slot of each hash, by double hashing."""
-    return ((h + U64(k) * (h >> U64(33) | U64(1))) & U64((1 << SLOT_BITS) - 1)).astype(np.int64)
+def _slots(h: np.ndarray, k: int, size: int) -> np.ndarray:
+    """The k-th slot of each hash among ``size``, by double hashing."""
+    return ((h + U64(k) * (h >> U64(33) | U64(1))) & U64(size - 1)).astype(np.int64)
 
 
-def train(ids: list, texts: list, labels: list, sizes: dict | None = None) -> dict[str, np.ndarray]:
+def count_grams(texts: pa.Array, labels: list) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    """(label, n-grams, times) of runs of texts."""
+    for lo, hi, data, offs in utf8_slices(texts, SLICE_BYTES):
+        grams, firsts, _ = gram_hashes(data, offs)
+        own = np.array([str(x) for x in labels[lo:hi]], dtype=object)
+        for label in sorted(set(own)):
+            chosen = np.concatenate([grams[firsts[i] : firsts[i + 1]] for i in np.flatnonzero(own == label)])
+            yield label, *np.unique(chosen, return_counts=True)
+
+
+def build(counted: Iterator[tuple[object, np.ndarray, np.ndarray]], sizes: dict) -> dict[str, np.ndarray]:
     """The bit-sliced filter of all languages, each's false-positive rate and own share of members.
 
-    ``sizes``: the texts of each language, if those given are a sample of them.
+    ``counted``: (label, n-grams, times) in any order; ``sizes``: each language's texts.
     """
-    names = sorted(set(labels))
-    counts, texts_of = [], []
+    names = sorted(sizes)
+    held: dict = {name: ([], []) for name in names}
+    for label, h, n in counted:
+        held[label][0].append(h)
+        held[label][1].append(n)
+    counts = []
     for name in names:
-        own = [x for x, label in zip(texts, labels) if label == name and x]
-        texts_of.append(len(own) if sizes is None else sizes.get(name, 0))
-        seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for _, _, data, offs in utf8_slices(pa.array(own, pa.string()), SLICE_BYTES):
-            h, c = np.unique(gram_hashes(data, offs)[0], return_counts=True)
-            seen, back = np.unique(np.concatenate((seen, h)), return_inverse=True)
-            times = np.bincount(back, np.concatenate((times, c)), len(seen)).astype(np.int64)
-        counts.append((seen, times))
+        grams, times = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(held.pop(name), (np.uint64, np.int64)))
+        seen, back = np.unique(grams, return_inverse=True)
+        counts.append((seen, np.bincount(back, times, len(seen)).astype(np.int64)))
     every = np.unique(np.concatenate([h for h, _ in counts])) if counts else np.zeros(0, np.uint64)
-    rates = np.zeros((len(names), len(every)))
-    for r, (h, c) in zip(rates, counts):
-        r[np.searchsorted(every, h)] = c / max(1, c.sum())
+    most = np.zeros(len(every))
+    places, rates = [], []
+    for h, c in counts:
+        places.append(np.searchsorted(every, h))
+        rates.append(c / max(1, c.sum()))
+        most[places[-1]] = np.maximum(most[places[-1]], rates[-1])
+    kept = [r >= RELATIVE * most[at] for at, r in zip(places, rates)]
+    size = 1 << max(SLOT_BITS, (SLOTS_A_GRAM * max((int(k.sum()) for k in kept), default=0) - 1).bit_length())
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(names) <= 8 * k().itemsize or k is np.uint64)
-    words = max(1, -(-len(names) // 64))
-    masks = np.zeros((words, 1 << SLOT_BITS), kind)
+    masks = np.zeros((max(1, -(-len(names) // 64)), size), kind)
     share, wrong = np.ones(len(names)), np.zeros(len(names))
-    most = rates.max(axis=0, initial=0)
-    for i, r in enumerate(rates):
-        own = np.flatnonzero((r > 0) & (r >= RELATIVE * most))
-        own = own[np.argsort(-r[own], kind="stable")[:KEPT_GRAMS]]
+    for i, (h, r, own) in enumerate(zip((h for h, _ in counts), rates, kept)):
         for k in range(HASHES):
-            masks[i // 64][_slots(every[own], k)] |= kind(1 << i % 64)
+            masks[i // 64][_slots(h[own], k, size)] |= kind(1 << i % 64)
         wrong[i] = (masks[i // 64] >> kind(i % 64) & kind(1)).mean() ** HASHES
         share[i] = max(1e-9, r[own].sum())
-    return {"names": np.array(names, dtype=str), "masks": masks, "share": share, "wrong": wrong, "texts": np.array(texts_of)}
+    return {"names": np.array(names, dtype=str), "masks": masks, "share": share, "wrong": wrong, "texts": np.array([sizes[x] for x in names])}
+
+
+def train(texts: list, labels: list, sizes: dict | None = None) -> dict[str, np.ndarray]:
+    """A model of texts that are at hand; ``sizes``: the texts of each language, if those given are a sample."""
+    sizes = sizes or {x: sum(label == x and bool(t) for t, label in zip(texts, labels)) for x in set(labels)}
+    return build(count_grams(pa.array(texts, pa.string()), labels), {str(k): n for k, n in sizes.items()})
 
 
 def predict(model: dict[str, np.ndarray], data: bytes, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -145,9 +163,9 @@ def predict(model: dict[str, np.ndarray], data: bytes, offs: np.ndarray) -> tupl
     total = np.diff(firsts)
     support = np.zeros((n, len(names)))
     for w, slots in enumerate(masks):
-        found = slots[_slots(grams, 0)]
+        found = slots[_slots(grams, 0, len(slots))]
         for k in range(1, HASHES):
-            found &= slots[_slots(grams, k)]
+            found &= slots[_slots(grams, k, len(slots))]
         for i in range(w * 64, min(len(names), w * 64 + 64)):
             run = np.concatenate(([0], np.cumsum(found >> slots.dtype.type(i % 64) & slots.dtype.type(1), dtype=np.int64)))
             hits = run[firsts[1:]] - run[firsts[:-1]]
@@ -160,9 +178,28 @@ def predict(model: dict[str, np.ndarray], data: bytes, offs: np.ndarray) -> tupl
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """A model of (id, text, lang) rows; rows without text or language are left out."""
-    rows = labelled.select(labelled[id_col].alias("doc_id"), labelled[text_col].alias("text"), labelled[lang_col].alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL AND text <> ''")
+    ship_package(labelled.sparkSession)
+    rows = labelled.select(labelled[id_col].alias("doc_id"), labelled[text_col].alias("text"), labelled[lang_col].cast("string").alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL AND text <> ''")
     sample, sizes = sample_by_label(rows, TRAINING_TEXTS)
-    return train_once(sample, lambda ids, texts, given: train(ids, texts, given, sizes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, grams, times in count_grams(batch.column(1), batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(grams)), pa.array(grams.view(np.int64)), pa.array(times)], ["label", "gram", "times"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        def counted():
+            for batch in batches:
+                coded = batch.column(0).dictionary_encode()
+                which = coded.indices.to_numpy(zero_copy_only=False)
+                grams, times = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
+                for i, label in enumerate(coded.dictionary.to_pylist()):
+                    yield label, grams[which == i], times[which == i]
+
+        return build(counted(), sizes)
+
+    counts = sample.select("label", "text").mapInArrow(count, "label string, gram bigint, times bigint")
+    return finish_once(counts.groupBy("label", "gram").agg(F.sum("times").alias("times")), finish)
 
 
 def identify(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

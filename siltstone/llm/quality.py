@@ -11,6 +11,10 @@ fitted on texts kept apart calibrates its probabilities.
 The first layer is linear in the means, so scoring adds up rows of one table
 (buckets x hidden units), which the model ships instead of the vectors.
 
+Contexts are integers, summed where the texts are and then bucket range by bucket
+range; features are made where the texts are, too, so one task gets only the labelled
+texts' features, 134 numbers each, and trains the network.
+
 Defined cases: null and empty texts have zero vectors and counts and get the score
 that the network gives those; rows without label are not learned from; labels of
 one document that differ are left out; with labels of one kind only, or none, the
@@ -20,6 +24,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm._hashing import _VALUES, U64, span_hashes, word_spans
-from siltstone.llm._runtime import kept_rows, ship_package, utf8_slices
-from siltstone.llm._training import load_model, sample_by_label, train_once
+from siltstone.llm._runtime import kept_rows, materialize, ship_package, shuffle_partitions, utf8_slices
+from siltstone.llm._training import finish_once, load_model, sample_by_label
 
 #: Labelled texts of each label that training reads at most, chosen by a hash of the id.
 TRAINING_TEXTS = 5000
@@ -74,34 +79,42 @@ def buckets(data: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def index_vectors() -> np.ndarray:
     """The buckets' sparse random vectors of +1 and -1."""
     rng = np.random.default_rng(20)
-    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+    out = np.zeros((BUCKETS, DIMENSIONS), np.int32)
     rows = np.arange(BUCKETS)
     for _ in range(NONZERO):
-        out[rows, rng.integers(0, DIMENSIONS, BUCKETS)] += rng.choice((-1.0, 1.0), BUCKETS)
+        out[rows, rng.integers(0, DIMENSIONS, BUCKETS)] += rng.choice((-1, 1), BUCKETS).astype(np.int32)
     return out
 
 
-def word_vectors(texts: list[str]) -> np.ndarray:
-    """Vectors of all buckets from the contexts in the texts."""
-    index = index_vectors()
-    context = np.zeros_like(index)
-    for _, _, data, offs in utf8_slices(pa.array(texts, pa.string()), SLICE_BYTES // 4):
-        words, shapes, firsts, _ = buckets(data, offs)
-        if not len(words):
-            continue
-        owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-        each = index[words] + index[shapes]
-        around = np.zeros_like(each)
-        for d in range(1, WINDOW + 1):
-            same = (owner[d:] == owner[:-d])[:, None]
-            around[d:] += each[:-d] * same
-            around[:-d] += each[d:] * same
-        for b in (words, shapes):
-            order = np.argsort(b, kind="stable")
-            where, first = np.unique(b[order], return_index=True)
-            context[where] += np.add.reduceat(around[order], first, axis=0)
-    length = np.linalg.norm(context, axis=1, keepdims=True)
-    return np.divide(context, length, out=np.zeros_like(context), where=length > 0) + 0.5 * index / NONZERO**0.5
+def add_contexts(context: np.ndarray, index: np.ndarray, data: bytes, offs: np.ndarray) -> None:
+    """Add to every bucket the index vectors around its occurrences in the texts."""
+    words, shapes, firsts, _ = buckets(data, offs)
+    if not len(words):
+        return
+    owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    each = index[words] + index[shapes]
+    around = np.zeros_like(each)
+    for d in range(1, WINDOW + 1):
+        same = (owner[d:] == owner[:-d])[:, None]
+        around[d:] += each[:-d] * same
+        around[:-d] += each[d:] * same
+    for b in (words, shapes):
+        order = np.argsort(b, kind="stable")
+        where, first = np.unique(b[order], return_index=True)
+        context[where] += np.add.reduceat(around[order], first, axis=0)
+
+
+def vectors_of(context: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Word vectors of buckets from their contexts and index vectors."""
+    length = np.sqrt((context.astype(float) ** 2).sum(axis=1, keepdims=True))
+    return (np.divide(context, length, out=np.zeros(context.shape), where=length > 0) + 0.5 * index / NONZERO**0.5).astype(np.float32)
+
+
+def features_of(vectors: np.ndarray, data: bytes, offs: np.ndarray) -> np.ndarray:
+    """Means of words' and shapes' vectors and pooled counts of each text."""
+    words, shapes, firsts, pooled = buckets(data, offs)
+    n = np.maximum(np.diff(firsts), 1)[:, None]
+    return np.hstack((pooled_sums(vectors, words, firsts) / n, pooled_sums(vectors, shapes, firsts) / n, pooled))
 
 
 def pooled_sums(table: np.ndarray, rows: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -118,20 +131,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(ids: list, texts: list, labels: list, sizes: dict | None = None) -> dict[str, np.ndarray]:
-    """The scoring table, the network and its temperature."""
-    y = np.array(labels, float)
-    sizes = sizes or {v: int((y == v).sum()) for v in (0, 1)}
-    share = sizes.get(1, 0) / max(1, sum(sizes.values())) if len(y) else 0.5
-    if len(set(labels)) < 2:
+def train(texts: list, labels: list) -> dict[str, np.ndarray]:
+    """A model of texts that are at hand."""
+    index = index_vectors()
+    context = np.zeros((BUCKETS, DIMENSIONS), np.int64)
+    slices = [x[2:] for x in utf8_slices(pa.array(texts, pa.string()), SLICE_BYTES // 4)]
+    for data, offs in slices:
+        add_contexts(context, index, data, offs)
+    vectors = vectors_of(context, index)
+    x = np.concatenate([features_of(vectors, *one) for one in slices])
+    return train_network(vectors, x, np.array(labels, float), {v: labels.count(v) for v in (0, 1)})
+
+
+def train_network(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, sizes: dict) -> dict[str, np.ndarray]:
+    """The scoring table, the network and its temperature from the features and labels of a sample.
+
+    ``sizes``: how many texts of each label there are in all.
+    """
+    share = sizes.get(1, 0) / max(1, sum(sizes.values())) if sizes else 0.5
+    if len(set(y)) < 2:
         return {"constant": np.array(share)}
-    vectors = word_vectors(texts)
-    features = []
-    for _, _, data, offs in utf8_slices(pa.array(texts, pa.string()), SLICE_BYTES // 4):
-        words, shapes, firsts, pooled = buckets(data, offs)
-        n = np.maximum(np.diff(firsts), 1)[:, None]
-        features.append(np.hstack((pooled_sums(vectors, words, firsts) / n, pooled_sums(vectors, shapes, firsts) / n, pooled)))
-    x = np.concatenate(features).astype(float)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = (x - mean) / spread
     # Weights restore the labels' shares among all labelled rows.
@@ -176,7 +195,8 @@ def predict(model: dict[str, np.ndarray], data: bytes, offs: np.ndarray) -> np.n
     words, shapes, firsts, pooled = buckets(data, offs)
     n = np.maximum(np.diff(firsts), 1)[:, None]
     inner = (pooled_sums(model["table"], words, firsts) + pooled_sums(model["table"], shapes, firsts)) / n + pooled @ model["counts"] + model["bias"]
-    return _sigmoid((np.tanh(inner) @ model["last"] + model["offset"]) / model["temperature"])
+    # Rounded, as the last bits of sums may follow a text's place in its batch.
+    return _sigmoid(np.round((np.tanh(inner) @ model["last"] + model["offset"]) / model["temperature"], 9))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> bytes:
@@ -192,7 +212,64 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample, sizes = sample_by_label(present, TRAINING_TEXTS)
     # The sample has about 2 * TRAINING_TEXTS ids at most, so it may be broadcast and the texts need no shuffle.
     chosen = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    return train_once(chosen, lambda ids, texts, given: train(ids, texts, given, sizes))
+    chosen = materialize(chosen.select("doc_id", "text", "label"), "training-texts")
+    spark = docs.sparkSession
+    ship_package(spark)
+    if len(sizes) < 2:
+        return finish_once(chosen.select("label").limit(0), lambda batches: train_network(np.zeros(0), np.zeros((0, 0)), np.zeros(0), sizes))
+    vectors = spark.sparkContext.broadcast(_vectors(chosen))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = vectors.value
+        for batch in batches:
+            for lo, hi, data, offs in utf8_slices(batch.column(1), SLICE_BYTES // 4):
+                rows = [row.astype("<f8").tobytes() for row in features_of(own, data, offs)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], ["doc_id", "label", "features"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        x = np.array([np.frombuffer(r[2]) for r in rows]).reshape(len(rows), -1)
+        return train_network(vectors.value, x, np.array([r[1] for r in rows], float), sizes)
+
+    return finish_once(chosen.mapInArrow(featured, "doc_id bigint, label int, features binary"), finish)
+
+
+def _vectors(texts: DataFrame) -> np.ndarray:
+    """Vectors of all buckets, a table of fixed size (19 MB), from the contexts in the texts."""
+    spark = texts.sparkSession
+    ranges = 32
+    size = BUCKETS // ranges
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_vectors()
+        context = np.zeros((BUCKETS, DIMENSIONS), np.int32)
+        for batch in batches:
+            for _, _, data, offs in utf8_slices(batch.column(0), SLICE_BYTES // 4):
+                add_contexts(context, index, data, offs)
+        for k in range(ranges):
+            own = context[k * size : (k + 1) * size]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["part", "payload"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.frombuffer(zlib.decompress(batch.column(1)[i].as_py()), np.int32).reshape(size, DIMENSIONS)
+                k = batch.column(0)[i].as_py()
+                sums[k] = own.astype(np.int64) if k not in sums else sums[k] + own
+        index = index_vectors()
+        for k, own in sums.items():
+            made = vectors_of(own, index[k * size : (k + 1) * size])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([made.tobytes()], pa.binary())], ["part", "payload"])
+
+    packed = "part int, payload binary"
+    parts = texts.select("text").mapInArrow(contexts, packed).repartition(min(ranges, shuffle_partitions(spark)), "part").mapInArrow(summed, packed)
+    vectors = vectors_of(np.zeros((BUCKETS, DIMENSIONS), np.int32), index_vectors())
+    for row in parts.collect():
+        vectors[row.part * size : (row.part + 1) * size] = np.frombuffer(row.payload, np.float32).reshape(size, DIMENSIONS)
+    return vectors
 
 
 def score_quality(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

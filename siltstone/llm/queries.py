@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm._runtime import crc32_bucket, table
+from siltstone.llm._runtime import crc32_bucket, materialize, table
 
 
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +16,14 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without id has no remainder: it is neither learned from nor held out."""
     from siltstone.llm.language_id import fit, identify
 
     docs = table(spark, sf_dir, "documents")
     part = crc32_bucket("doc_id", 3)
     model = fit(docs.where(part != 1))
     found = identify(docs, model)
-    return found.select("doc_id", (part == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", part.eqNullSafe(1).alias("held_out"), "lang_pred", "score")
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.mpeg_audio import read_audio, store_audio
 
-    return read_audio(store_audio(table(spark, sf_dir, "documents")))
+    return read_audio(materialize(store_audio(table(spark, sf_dir, "documents")), "media"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +89,13 @@ def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without id has no remainder: it is neither learned from nor held out."""
     from siltstone.llm.quality import fit, score_quality
 
     docs = table(spark, sf_dir, "documents")
     part = crc32_bucket("doc_id", 5)
     model = fit(docs, table(spark, sf_dir, "labels").where(part != 0))
-    return score_quality(docs, model).select("doc_id", (part == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return score_quality(docs, model).select("doc_id", part.eqNullSafe(0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (

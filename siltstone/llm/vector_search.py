@@ -53,7 +53,8 @@ def quantised(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]
     valid[owner[~np.isfinite(values)]] = False
     first = np.cumsum(lengths) - lengths
     out = np.zeros((n, int(lengths.max(initial=0))))
-    out[owner, np.arange(len(values)) - first[owner]] = np.floor(64 * np.where(np.isfinite(values), values, 0))
+    # Adding zero makes one zero of both.
+    out[owner, np.arange(len(values)) - first[owner]] = np.floor(64 * np.where(np.isfinite(values), values, 0)) + 0.0
     return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[valid], out[valid]
 
 
@@ -208,9 +209,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Query vectors without their last zeros, so that equal ones are equal bytes."""
     for batch in batches:
         ids, m = quantised(batch.column(0), batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in m], pa.binary())], ["shard", "payload"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([np.trim_zeros(r, "b").tobytes() for r in m], pa.binary())], ["shard", "payload"])
 
 
 def _search(k: int):

@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siltstone.llm import chat_format, mpeg_audio, secret_scan
+from siltstone.llm.queries import QUERIES
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -71,6 +72,36 @@ def test_audio_column(spark):
     assert mpeg_audio.store_audio(documents(spark, []).limit(0)).isEmpty()
 
 
+def plain_media(text):
+    """The stored form, laid out byte by byte, and its feature line."""
+    header = bytes.fromhex("fff2d8c0")
+    crc = 0xFFFF
+    for byte in header[2:] + bytes(9):
+        for bit in range(7, -1, -1):
+            crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ (byte >> bit & 1) else 0)
+    data = text.encode()
+    padded = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
+    n = len(padded) // 576
+    opening = header + struct.pack(">H", crc) + bytes(9)
+    info = b"Info" + struct.pack(">III", 15, n, 648 * (n + 1)) + bytes(k * 256 // 100 for k in range(100)) + bytes(4)
+    value = b"\0payload_bytes\0" + str(len(data)).encode()
+    tag = b"TXXX" + struct.pack(">I", len(value)) + b"\0\0" + value
+    out = b"ID3\x03\0\0\0\0\0" + bytes([len(tag)]) + tag
+    first = len(out) + 648
+    out += (opening + info).ljust(648, b"\0")
+    for i in range(n):
+        out += (opening + padded[576 * i : 576 * (i + 1)]).ljust(648, b"\0")
+    seek = ",".join(str(first + 648 * (k * n // 10)) for k in range(10))
+    return out + b"TAG" + bytes(125), f"mpeg2 layer3;duration={len(padded)}/16000;frames={n};kbps=144;crc={n},0,0;skipped=0;table=Info,{n},{648 * (n + 1)};seek={seek}"
+
+
+def test_audio_query_stores_the_plain_form(spark, tmp_path):
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in QUERIES["op5_mpeg_audio"](spark, str(tmp_path)).collect():
+        media, feature = plain_media(TEXTS[r.doc_id] or "")
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+
+
 TURNS = [
     (1, 0, "system", "be \\l brief <turn user>\n"), (1, 1, "user", None), (1, 2, "assistant", "</turn>\n<turn assistant>\nsure \\b \\"), (1, 2, "assistant", "</turn>\n<turn assistant>\nsure \\b \\"),
     (2, None, None, "who?"), (2, 5, "a>s<s\\", "x"), (2, 4, "assistant", ""), (None, 0, "assistant", "é😀 ok"), (-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok"),

@@ -52,6 +52,12 @@ def test_top_k_is_brute_force(spark, case, monkeypatch):
     assert len(got) == len({tuple(r) for r in got})
 
 
+def test_both_zeros_and_padding_are_one_query(spark):
+    rows = [(0, [0.0, 1.0]), (0, [-0.0, 1.0]), (0, [-0.0, 1.0, 0.0, -0.0]), (3, [1.0, 0.5]), (5, [0.25, -1.0])]
+    got = vector_search.top_k(table(spark, rows).repartition(5), F.col("vec_id") % 2 == 0, 5).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 3, 2048), (0, 2, 5, -4096)]
+
+
 def test_many_shards_and_query_groups(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "QUERY_GROUP", 20)
     rng = np.random.default_rng(5)
@@ -142,4 +148,5 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
         assert bool(pieces) == bool(own)
         if own:
             ids = [r.doc_id for r in docs.where("doc_id IS NOT NULL").collect()]
-            assert len(ids) == len(set(ids)) and len(set(ids) & set(range(130))) >= 55
+            # The id that comes with two texts is two documents.
+            assert len(ids) == len(set(ids)) + 1 and ids.count(0) == 2 and len(set(ids) & set(range(130))) >= 55
