@@ -102,4 +102,40 @@ QUERIES = {f.__name__: f for f in (
     op1_bpe_codec, op2_language_id, op3_near_dup, op4_token_store, op5_mpeg_audio,
     op6_packing, op7_chat_format, op8_secret_scan, op9_vector_search, op10_quality,
 )}
-ORACLE_SQL: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: The same rows in DuckDB; tokenizer libraries, trained models and op8's added spans have no SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_dup": f"""WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(s) AS x FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.doc_id)
+SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id, n""",
+    "op7_chat_format": f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in CONTROL_TURNS)})),
+segments AS (
+  SELECT *, '<turn ' || replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '>', '\\g') || '>' || chr(10)
+    || replace(replace(replace(text, '\\', '\\b'), '<', '\\l'), '>', '\\g') || '</turn>' || chr(10) AS segment FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, segment)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, segment)) AS loss_sha256,
+  CAST(sum(length(segment)) AS BIGINT) AS formatted_chars
+FROM segments GROUP BY conv_id""",
+    "op9_vector_search": """WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM (SELECT DISTINCT vec_id, v FROM valid WHERE vec_id % 20 = 0) q JOIN valid c ON c.vec_id <> q.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 20""",
+}
