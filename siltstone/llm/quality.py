@@ -79,35 +79,50 @@ def buckets(data: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def index_vectors() -> np.ndarray:
     """The buckets' sparse random vectors of +1 and -1."""
     rng = np.random.default_rng(20)
-    out = np.zeros((BUCKETS, DIMENSIONS), np.int32)
+    out = np.zeros((BUCKETS, DIMENSIONS), np.int8)
     rows = np.arange(BUCKETS)
     for _ in range(NONZERO):
-        out[rows, rng.integers(0, DIMENSIONS, BUCKETS)] += rng.choice((-1, 1), BUCKETS).astype(np.int32)
+        out[rows, rng.integers(0, DIMENSIONS, BUCKETS)] += rng.choice((-1, 1), BUCKETS).astype(np.int8)
     return out
 
 
+def add_sums(sums: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+    """Add the rows of ``values`` to the rows ``keys`` of ``sums``."""
+    order = np.argsort(keys, kind="stable")
+    where, first, times = np.unique(keys[order], return_index=True, return_counts=True)
+    # Keys of many rows one by one, the others' first rows together, then their second ones and so on.
+    many = 16
+    for i in np.flatnonzero(times > many).tolist():
+        sums[where[i]] += values[order[first[i] : first[i] + times[i]]].sum(axis=0, dtype=sums.dtype)
+    where, first, times = (x[times <= many] for x in (where, first, times))
+    for k in range(many):
+        left = np.flatnonzero(times > k)
+        sums[where[left]] += values[order[first[left] + k]]
+
+
 def add_contexts(context: np.ndarray, index: np.ndarray, data: bytes, offs: np.ndarray) -> None:
     """Add to every bucket the index vectors around its occurrences in the texts."""
     words, shapes, firsts, _ = buckets(data, offs)
     if not len(words):
         return
-    owner = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    each = index[words] + index[shapes]
+    # Zeros between texts, so that no context crosses them; sums of four neighbours fit a byte.
+    n = len(firsts) - 1
+    place = np.arange(len(words)) + np.repeat(np.arange(1, n + 1) * WINDOW, np.diff(firsts))
+    each = np.zeros((len(words) + (n + 1) * WINDOW, DIMENSIONS), np.int8)
+    each[place] = index.take(words, axis=0) + index.take(shapes, axis=0)
     around = np.zeros_like(each)
     for d in range(1, WINDOW + 1):
-        same = (owner[d:] == owner[:-d])[:, None]
-        around[d:] += each[:-d] * same
-        around[:-d] += each[d:] * same
+        around[d:] += each[:-d]
+        around[:-d] += each[d:]
+    around = around.take(place, axis=0)
     for b in (words, shapes):
-        order = np.argsort(b, kind="stable")
-        where, first = np.unique(b[order], return_index=True)
-        context[where] += np.add.reduceat(around[order], first, axis=0)
+        add_sums(context, b, around)
 
 
 def vectors_of(context: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Word vectors of buckets from their contexts and index vectors."""
     length = np.sqrt((context.astype(float) ** 2).sum(axis=1, keepdims=True))
-    return (np.divide(context, length, out=np.zeros(context.shape), where=length > 0) + 0.5 * index / NONZERO**0.5).astype(np.float32)
+    return (np.divide(context, length, out=np.zeros(context.shape), where=length > 0) + 0.5 * index.astype(float) / NONZERO**0.5).astype(np.float32)
 
 
 def features_of(vectors: np.ndarray, data: bytes, offs: np.ndarray) -> np.ndarray:
@@ -119,11 +134,12 @@ def features_of(vectors: np.ndarray, data: bytes, offs: np.ndarray) -> np.ndarra
 
 def pooled_sums(table: np.ndarray, rows: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Sums of the table's rows over each text."""
-    n = len(firsts) - 1
-    out = np.zeros((n, table.shape[1]), np.float32)
-    full = np.flatnonzero(np.diff(firsts))
-    if len(full):
-        out[full] = np.add.reduceat(table[rows], firsts[full], axis=0)
+    out = np.zeros((len(firsts) - 1, table.shape[1]), np.float32)
+    taken = table.take(rows, axis=0)
+    ends = firsts.tolist()
+    for i, (lo, hi) in enumerate(zip(ends, ends[1:])):
+        if hi > lo:
+            out[i] = taken[lo:hi].sum(axis=0)
     return out
 
 
@@ -212,8 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample, sizes = sample_by_label(present, TRAINING_TEXTS)
     # The sample has about 2 * TRAINING_TEXTS ids at most, so it may be broadcast and the texts need no shuffle.
     chosen = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    chosen = materialize(chosen.select("doc_id", "text", "label"), "training-texts")
     spark = docs.sparkSession
+    # Dealt evenly, whatever the table's files are.
+    dealt = chosen.select("doc_id", "text", "label").repartition(shuffle_partitions(spark), F.xxhash64("doc_id", "text"))
+    chosen = materialize(dealt, "training-texts")
     ship_package(spark)
     if len(sizes) < 2:
         return finish_once(chosen.select("label").limit(0), lambda batches: train_network(np.zeros(0), np.zeros((0, 0)), np.zeros(0), sizes))
