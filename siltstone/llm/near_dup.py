@@ -307,7 +307,10 @@ def leftover_pairs(buckets: DataFrame, found: DataFrame, sketches: DataFrame, sc
     # A bucket's members meet its main component by parts.
     main = main.select("key", "main", "minor", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     mixed = materialize(members.join(main, ["key", "part"]).drop("part"), "mixed")
-    near = only_keys(sketches, ["doc_id"], mixed.select("doc_id"), mixed.count())
+    count = mixed.count()
+    if not count:
+        return spark.createDataFrame([], "a bigint, b bigint")
+    near = only_keys(sketches, ["doc_id"], mixed.select("doc_id"), count)
     rows = mixed.join(near, "doc_id")
     blocks = F.ceil(F.col("minor") / BLOCK).cast("int")
     salts = F.ceil(F.col("size") / SALT).cast("int")
