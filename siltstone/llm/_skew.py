@@ -58,8 +58,6 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame
     ``hot``: the keys with many rows in ``many``.  Their rows are dealt over salts by a
     hash of the whole row, and their rows of ``one`` go to every salt.
     """
-    if hot.isEmpty():
-        return many.join(one, keys, how)
     bits = 22
     marks = bitmap(hot, keys, bits)
     own = F.pmod(F.xxhash64(*many.columns), F.lit(SPREAD)).cast("int")

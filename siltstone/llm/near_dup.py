@@ -46,7 +46,7 @@ SLOTS, BAND = 128, 4
 SLICE_BYTES = 2_000_000
 PARITY_BITS = 2048
 #: Members of a hot text's chunk, members outside the main component of a block, members of a salted part.
-CHUNK, BLOCK, SALT = 32, 256, 1024
+CHUNK, BLOCK, SALT = 32, 256, 256
 #: Links that one task groups by itself.
 FEW_LINKS = 500_000
 
@@ -362,7 +362,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     banded = real.select("row", "doc_id", "bands").join(classes.select("row"), "row", "left_semi").select("doc_id", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
     leaders = materialize(leaders, "leaders")
-    buckets = materialize(spread_join(banded, leaders, ["key"], leaders.where(F.col("size") > HOT).select("key")), "buckets")
+    # A plain join before a write: where a key is hot, adaptive execution splits its rows, and its leader is one row.
+    buckets = materialize(banded.join(leaders, "key"), "buckets")
     sketches = real.select("doc_id", "n_shingles", "sketch")
     stars = materialize(buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     links = materialize(confirmed(materialize(likely(stars, sketches, screen), "likely"), source, width, percent), "links")
