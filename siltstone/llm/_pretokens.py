@@ -9,8 +9,8 @@ of texts are cut by a few array operations over their code points.
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +123,8 @@ def split_texts(data: bytes, byte_offsets: np.ndarray, library: str) -> tuple[pa
 class WordEncoder:
     """Ids of words, each encoded by a tokenizer library once while it is remembered.
 
+    ``encode_words`` returns the ids of a list of words end to end, and their numbers.
+
     Two generations bound the memory: when the young one is full it becomes the
     old one.  Frequent words move over on use, so only rare ones are encoded anew.
     """
@@ -145,8 +147,11 @@ class WordEncoder:
                     out[i] = young[words[i]] = x
             for lo in range(0, len(new), 20_000):
                 part = new[lo : lo + 20_000]
-                for i, ids in zip(part, self.encode_words([words[i] for i in part])):
-                    out[i] = young[words[i]] = array("I", ids).tobytes()
+                flat, lengths = self.encode_words([words[i] for i in part])
+                data, at = flat.astype("<u4", copy=False).tobytes(), 0
+                for i, end in zip(part, (np.cumsum(lengths) * 4).tolist()):
+                    out[i] = young[words[i]] = data[at:end]
+                    at = end
             if len(young) > self.most:
                 self.old, self.young = young, {}
         offs = np.zeros(len(words) + 1, np.int64)
@@ -169,9 +174,23 @@ def library_words(path: str):
 
     own = tokenizers.Tokenizer(tokenizers.Tokenizer.from_file(path).model)
     own.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in own.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+    vocabulary = own.get_vocab()
+    # A token has a character for each byte, and the model's mark where a word ends.
+    mark = own.model.end_of_word_suffix or ""
+    bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        bytes_of[i] = len(token.removesuffix(mark) if mark else token)
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # Words that are given as such are encoded apart, and many share one call's cost; their bytes tell them apart again.
+        groups = [[w.decode("utf-8") for w in words[lo : lo + 2000]] for lo in range(0, len(words), 2000)]
+        found = own.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False)
+        flat = np.concatenate([np.array(x.ids, "<u4") for x in found])
+        ends, at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), np.cumsum(bytes_of[flat])
+        last = np.searchsorted(at, ends)
+        if len(flat) and not (at[-1] == ends[-1] and (at[last] == ends).all()):
+            raise ValueError(f"the tokens of {path} do not stand for the bytes of the words")
+        return flat, np.diff(last, prepend=-1)
 
     return encode
 
@@ -225,7 +244,13 @@ def rank_words(path: str):
     runs of white space.
     """
     own = rank_encoding(path)
-    return lambda words: [own._encode_single_piece(w) for w in words]
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(own._encode_single_piece, words))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(lengths.sum())), lengths
+
+    return encode
 
 
 def rank_texts(path: str):

@@ -11,9 +11,10 @@ shard per partition, to the shared folder; ``read_ids`` reads the pages back.
 
 Defined cases: null text is the empty text; every document has the end id at
 least; strings of the file's added tokens become their ids, as by the library's
-defaults; null doc_id comes first; rows of one doc_id are ordered by a hash of the
-text and each is a document; other columns are not read.  Memory follows a page (about 256,000
-ids) or the longest text.
+defaults; null doc_id comes first; rows of one doc_id come in the table's order
+and each is a document; other columns are not read.  The input should be a scan or
+a materialised table, whose order is the same when read again.  Memory follows a
+page (about 256,000 ids) or the longest text.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ BLOCK = 1024
 ESCAPE = np.uint64((1 << 60) - 1)
 MAGIC = b"S8B1"
 PAGE_IDS = 262_144
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 5_000_000
 
 
 def _bit_lengths(v: np.ndarray) -> np.ndarray:
@@ -181,9 +182,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
     spark = docs.sparkSession
     ship_package(spark)
     source = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    # The hash splits the rows of one id, or of none, over partitions.
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    ordered = source.repartitionByRange(shuffle_partitions(spark), *order[:2]).sortWithinPartitions(*order)
+    # The place splits the rows of one id, or of none, over partitions.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
+    placed = source.withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("place")
     schema = "shard int, page int, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
     return materialize(ordered.mapInArrow(_pages(tokenizer_path, end_id), schema), "token-ids")
 
