@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULT, Config
 from siltstone.functions.encoding import common_prefix, hash_slice, let, record_size, varint_size
+from siltstone.operators.replay import carried
 
 LEVELS = 12
 
@@ -23,28 +25,38 @@ def by_position(log: DataFrame, config: Config = DEFAULT) -> DataFrame:
 def by_distinct_keys(log: DataFrame, config: Config = DEFAULT, streams: list[str] | None = None) -> DataFrame:
     """The writes of a log with ``segment``: a segment ends when it holds the full number of distinct keys.
 
-    Where a segment ends depends on all before it, so a stream's writes are folded in
-    order by one task, which holds one segment's keys.  ``streams``: columns whose
-    values are logs of their own and are folded apart.
+    Where a segment ends depends on all before it, so a stream's places and keys alone
+    are folded in order by one task, which holds one segment's keys and returns where
+    segments start; the writes find their segment from that side by side.  ``streams``:
+    columns whose values are logs of their own and are folded apart.
     """
     most, streams = config.memtable_entries, streams or []
     writes = log.where(F.col("op").isin("p", "d"))
-    ordered = (writes.repartition(*streams) if streams else writes.repartition(1)).sortWithinPartitions(*streams, "seq")
+    kept = writes.select(*streams, "seq", "k")
+    ordered = (kept.repartition(*streams) if streams else kept.repartition(1)).sortWithinPartitions(*streams, "seq")
+    names = [*streams, "seq", "segment"]
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, segment, seen = None, 0, set()
-        for frame in frames:
-            out = []
-            for row in zip(*(frame[c] for c in [*streams, "k"])):
-                if row[:-1] != stream:
-                    stream, segment, seen = row[:-1], 0, set()
-                if len(seen) >= most:
+        for batch in batches:
+            starts = []
+            *own, seqs, keys = (c.to_pylist() for c in batch.columns)
+            for now, seq, key in zip(zip(*own) if own else repeat(()), seqs, keys):
+                if now != stream:
+                    stream, segment, seen = now, -1, None
+                if seen is None or len(seen) >= most:
                     segment, seen = segment + 1, set()
-                seen.add(row[-1])
-                out.append(segment)
-            yield frame.assign(segment=out)
+                    starts.append((*now, seq, segment))
+                seen.add(key)
+            if starts:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*starts), [*(batch.schema.field(x).type for x in streams), pa.int64(), pa.int64()])], names)
 
-    return ordered.mapInPandas(fold, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in writes.schema)}, segment bigint")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "k") + ", segment bigint"
+    starts = ordered.mapInArrow(fold, schema)
+    # One key for the stream, never null.
+    key = F.to_json(F.struct(*streams)) if streams else F.lit("")
+    marks = starts.select(key.alias("stream key"), "seq", "segment")
+    return carried(writes.withColumn("stream key", key), marks, ["stream key"], "segment").drop("stream key")
 
 
 def segment_sizes(entries: DataFrame) -> DataFrame:
@@ -53,7 +65,7 @@ def segment_sizes(entries: DataFrame) -> DataFrame:
 
 def delta_encode(entries: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(segment, k, v, lcp, suffix, sizes): every record against its predecessor in the segment."""
-    previous = F.lag("k").over(Window.partitionBy("segment").orderBy("k"))
+    previous = F.lag("k").over(Window.partitionBy("segment").orderBy("k", "v"))
     prefixed = entries.select("segment", "k", "v", common_prefix(previous, F.col("k")).alias("lcp"))
     unshared = (F.length("k") - F.col("lcp")).cast("bigint")
     return prefixed.select(
@@ -95,13 +107,14 @@ def pack_blocks(entries: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(segment, block, place, k, v, bytes, restart) of every record by greedy packing.
 
     A record whose delta-encoded size would pass the block's limit starts a block; a
-    block's first and every ``restart_interval``-th record are written whole.  The
-    fold runs over one array a segment, which has at most a memtable's entries.
+    block's first and every ``restart_interval``-th record are written whole.  Records
+    stand in the order of key and value, also where a key repeats.  The fold runs over one array a segment, which has at most a memtable's entries.
     """
-    previous = F.lag("k").over(Window.partitionBy("segment").orderBy("k"))
+    order = Window.partitionBy("segment").orderBy("k", "v")
     length, value = F.length("k"), F.length("v")
-    sized = entries.select("segment", "k", "v", record_size(common_prefix(previous, F.col("k")), length, value).alias("delta"), record_size(F.lit(0), length, value).alias("whole"))
-    rows = sized.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("k", "v", "delta", "whole"))).alias("rows"))
+    placed = entries.select("segment", "k", "v", F.lag("k").over(order).alias("previous"), F.row_number().over(order).alias("nth"))
+    sized = placed.select("segment", "nth", "k", "v", record_size(common_prefix(F.col("previous"), F.col("k")), length, value).alias("delta"), record_size(F.lit(0), length, value).alias("whole"))
+    rows = sized.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("nth", "k", "v", "delta", "whole"))).alias("rows"))
     zero = F.struct(*(F.lit(0).cast("bigint").alias(x) for x in ("n", "bytes", "i")), F.array().cast("array<bigint>").alias("starts"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -163,22 +176,37 @@ def bloom_size(n: int, fpr: float) -> tuple[int, int]:
     return bits, max(1, round(bits / n * math.log(2)))
 
 
-def bloom_positions(keys: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """(segment, k, position) of every key (segment, k), by double hashing."""
-    hashed = keys.select("segment", "k", hash_slice(F.col("k"), 0).alias("h1"), hash_slice(F.col("k"), 1).alias("h2"))
-    every = hashed.select("segment", "k", "h1", "h2", F.explode(F.array(*map(F.lit, range(hashes)))).alias("i"))
-    return every.select("segment", "k", F.pmod(F.col("h1") + F.col("i") * F.col("h2"), F.lit(bits)).alias("position"))
+def hashed_keys(keys: DataFrame) -> DataFrame:
+    """(segment, k, h1, h2) of every key, for double hashing."""
+    hashed = keys.select("segment", "k", F.md5(F.col("k").cast("binary")).alias("md5"))
+    return hashed.select("segment", "k", *(F.conv(F.substring("md5", 8 * i + 1, 8), 16, 10).cast("bigint").alias(f"h{i + 1}") for i in range(2)))
+
+
+def bloom_position(i, bits: int) -> Column:
+    return F.pmod(F.col("h1") + i * F.col("h2"), F.lit(bits))
 
 
 def bloom_build(entries: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """(segment, position) of the bits that are set."""
-    return bloom_positions(entries, bits, hashes).select("segment", "position").distinct()
+    """(segment, words): each segment's bits as one array of 64-bit words."""
+    # Exploding constants, Spark need not test each row's array for being empty.
+    every = hashed_keys(entries).select("segment", "h1", "h2", F.explode(F.array(*map(F.lit, range(hashes)))).alias("i"))
+    places = every.select("segment", bloom_position(F.col("i"), bits).alias("position"))
+    marks = places.select("segment", F.shiftright("position", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("position") % 64).cast("int")).alias("marks"))
+    # Every word once without a mark, so that none is missing from the array.
+    blank = entries.select("segment").distinct().select("segment", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((bits - 1) // 64).cast("bigint"))).alias("word"), F.lit(0).cast("bigint").alias("marks"))
+    words = marks.unionByName(blank).groupBy("segment", "word").agg(F.bit_or("marks").alias("marks"))
+    return words.groupBy("segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "marks"))), lambda x: x["marks"]).alias("words"))
 
 
 def bloom_probe(probes: DataFrame, filters: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """(segment, k, maybe) of every distinct probe (segment, k): whether all its bits are set."""
-    hit = bloom_positions(probes, bits, hashes).join(filters.withColumn("set", F.lit(1)), ["segment", "position"], "left")
-    return hit.groupBy("segment", "k").agg(F.bool_and(F.col("set").isNotNull()).alias("maybe"))
+    """(segment, k, maybe) of every probe (segment, k): whether all its bits are set; False without a filter."""
+
+    def is_set(position: Column) -> Column:
+        word = F.get("words", F.shiftright(position, 6).cast("int"))
+        return F.coalesce(F.call_function("shiftright", word, (position % 64).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+    placed = hashed_keys(probes).select("segment", "k", F.array(*(bloom_position(i, bits) for i in range(hashes))).alias("positions"))
+    return placed.join(filters, "segment", "left").select("segment", "k", F.forall("positions", is_set).alias("maybe"))
 
 
 def hash_slots(entries: DataFrame) -> DataFrame:
@@ -189,24 +217,38 @@ def hash_slots(entries: DataFrame) -> DataFrame:
     return used.select("segment", "slots", (F.col("slots") - F.col("usable") - F.col("cancelled")).alias("empty"), "usable", "cancelled")
 
 
+#: Segments whose ranks one task counts.
+RANKED = 1 << 16
+
+
+def ranked(rows: DataFrame, number: str, name: str) -> DataFrame:
+    """``rows`` of distinct numbers with ``name``: how many of them are smaller.
+
+    Ranges of numbers are counted first, so ranks within them are found side by side.
+    """
+    parts = rows.withColumn("part", F.floor(F.col(number) / RANKED))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.groupBy("part").agg(F.count("*").alias("held")).select("part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(number)) - 1
+    return parts.withColumn("place", place).join(before, "part").select(*rows.columns, (F.col("before") + F.col("place")).alias(name))
+
+
 def level_placement(entries: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """(segment, n, level, table): where each full segment lies after all flushes.
 
     Full levels merge into the next, so the number of flushes written in the mixed
-    radix of the widths tells the tables of every level.  A flush lies at the first
-    level whose next one does not cover it yet.
+    radix of the widths tells the tables of every level.  A flush, numbered among the
+    full segments, lies at the first level whose next one does not cover it yet.
     """
     sizes = segment_sizes(entries).where(F.col("n") >= config.memtable_entries)
-    flushes = sizes.agg(F.count("*").alias("flushes"))
-    # One row of the number of flushes.
-    numbered = sizes.join(F.broadcast(flushes), how="cross")
+    numbered = ranked(sizes, "segment", "flush").join(F.broadcast(sizes.agg(F.count("*").alias("flushes"))), how="cross")
     per = config.flushes_per_table(LEVELS)
     level, table = F.lit(LEVELS - 1), F.lit(0)
     for i in range(LEVELS - 1, -1, -1):
         done = F.floor(F.col("flushes") / per[i + 1]) * per[i + 1]
-        here = F.col("segment") >= done
+        here = F.col("flush") >= done
         level = F.when(here, i).otherwise(level)
-        table = F.when(here, F.floor((F.col("segment") - done) / per[i])).otherwise(table)
+        table = F.when(here, F.floor((F.col("flush") - done) / per[i])).otherwise(table)
     return numbered.select("segment", "n", level.cast("bigint").alias("level"), table.cast("bigint").alias("table"))
 
 

@@ -6,7 +6,7 @@ with this and reach the scan; predicates on values do not and stay above.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,19 +79,61 @@ def get_until(entries: DataFrame, high: str, by: str = "segment") -> DataFrame:
     return entries.join(found, by).where(~F.col("found") | (F.col("k") <= high)).select(by, "k", "v", "found")
 
 
-def bucketed_ranges(ranges: DataFrame, low: str, high: str) -> DataFrame:
-    """Ranges, one row for each first byte that their keys can have (column ``bucket``).
+#: Buckets of a range join at most, and keys of the sample for each.
+BUCKETS, SAMPLED = 1024, 32
 
-    A join on the first byte and the bounds is an equi-join, which hashes and spills,
-    instead of a nested loop.  Inverted ranges have no row.
+
+def sample_bounds(keys: DataFrame, key: str) -> list[str]:
+    """Keys that split distinct keys into about equal buckets, two for each shuffle partition.
+
+    The sample is of bounded size: the keys of the least hashes, so it depends neither
+    on the order nor on the partitions.
     """
+    buckets = min(BUCKETS, 2 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sample = sorted(r[0] for r in keys.orderBy(F.xxhash64(key)).limit(buckets * SAMPLED).collect())
+    return sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
+
+
+def key_bucket(key: Column, bounds: list[str]) -> Column:
+    """How many of the bounds are at most the key, found by halving."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(key < bounds[middle], search(lo, middle)).otherwise(search(middle + 1, hi))
+
+    return search(0, len(bounds))
+
+
+def crossed_buckets(ranges: DataFrame, low: str, high: str, bounds: list[str]) -> DataFrame:
+    """Ranges, one row for each bucket that they cross (column ``bucket``); inverted ones have no row."""
     valid = ranges.where(F.col(low) <= F.col(high))
-    return valid.withColumn("bucket", F.explode(F.sequence(F.ascii(low), F.ascii(high))))
+    return valid.withColumn("bucket", F.explode(F.sequence(key_bucket(F.col(low), bounds), key_bucket(F.col(high), bounds))))
 
 
 def range_count(log: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(range_id, n): live keys in each inclusive range (range_id, low, high)."""
-    keys = resolve(log).select("k", F.ascii("k").alias("bucket"))
-    hits = bucketed_ranges(ranges, "low", "high").join(keys, "bucket").where(F.col("k").between(F.col("low"), F.col("high")))
-    counts = hits.groupBy("range_id").agg(F.count("*").alias("n"))
-    return ranges.select("range_id").join(counts, "range_id", "left").select("range_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    """(range_id, n): live keys in each inclusive range (range_id, low, high).
+
+    The keys up to the range's end less those before its start: distinct ends are
+    ranked among the keys of their bucket, and the buckets before add their totals.
+    No range meets a key.
+    """
+    keys = resolve(log).select("k")
+    bounds = sample_bounds(keys, "k")
+    # Starts stand before equal keys, ends after them.
+    ends = ranges.where("low <= high").select(F.explode(F.array(F.struct(F.col("low").alias("k"), F.lit(0).alias("side")), F.struct(F.col("high").alias("k"), F.lit(2).alias("side")))).alias("e")).select("e.*").distinct()
+    both = keys.select("k", F.lit(1).alias("side")).unionByName(ends).withColumn("bucket", key_bucket(F.col("k"), bounds))
+    is_key = F.when(F.col("side") == 1, 1).otherwise(0)
+    before = Window.partitionBy("bucket").orderBy("k", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = both.withColumn("inner", F.sum(is_key).over(before)).where("side <> 1")
+    # A row for each bucket, of which there are a fixed number at most.
+    totals = both.groupBy("bucket").agg(F.sum(is_key).alias("n"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranks = inner.join(F.broadcast(starts), "bucket").select("k", "side", (F.col("inner") + F.col("before")).alias("rank"))
+    low = ranks.where("side = 0").select(F.col("k").alias("low"), F.col("rank").alias("below"))
+    high = ranks.where("side = 2").select(F.col("k").alias("high"), F.col("rank").alias("up_to"))
+    found = ranges.select("range_id", "low", "high").join(low, "low", "left").join(high, "high", "left")
+    n = F.when(F.col("low") <= F.col("high"), F.col("up_to") - F.col("below"))
+    return found.select("range_id", F.coalesce(n, F.lit(0)).cast("bigint").alias("n"))

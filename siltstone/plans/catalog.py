@@ -48,10 +48,10 @@ def probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"))
 
 
-def range_log(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
-    """The events log, every get (or those at each ``every``-th place) a range of 20 from its key."""
+def range_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events log, every get a range of 20 from its key."""
     log = events_log(spark, sf_dir)
-    is_range = (F.col("op") == "g") & (F.col("seq") % every == 0)
+    is_range = F.col("op") == "g"
     end = (F.col("k").cast("bigint") + 20).cast("string")
     return log.select("seq", F.when(is_range, "r").otherwise(F.col("op")).alias("op"), "k", "v", F.when(is_range, end).alias("k2"))
 
@@ -134,7 +134,7 @@ def prefix_sql(a: str, b: str) -> str:
 
 SIZED = (
     SEGMENTS
-    + f""", chained AS (SELECT *, lag(k) OVER (PARTITION BY segment ORDER BY k) AS before FROM entries),
+    + f""", chained AS (SELECT *, lag(k) OVER (PARTITION BY segment ORDER BY k, v) AS before FROM entries),
 prefixed AS (SELECT segment, k, v, CASE WHEN before IS NULL THEN 0 ELSE {prefix_sql("before", "k")} END AS lcp FROM chained),
 sized AS (
   SELECT *, CAST({varint_sql("lcp")} + {varint_sql("(len(k) - lcp)")} + {varint_sql("len(v)")} + len(k) - lcp + len(v) AS BIGINT) AS delta,
@@ -144,7 +144,7 @@ sized AS (
 
 PACKED = (
     SIZED
-    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY k) AS rn FROM sized),
+    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY k, v) AS rn FROM sized),
 packed AS (
   SELECT segment, rn, k, v, delta, whole, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS place, whole AS bytes, whole AS held, TRUE AS restart
   FROM numbered WHERE rn = 1
@@ -160,12 +160,12 @@ packed AS (
 )
 
 RADIX = DEFAULT.flushes_per_table(8)
-_level = " ".join(f"WHEN segment >= (flushes // {RADIX[i + 1]}) * {RADIX[i + 1]} THEN {i}" for i in range(8))
-_table = " ".join(f"WHEN {i} THEN (segment - (flushes // {RADIX[i + 1]}) * {RADIX[i + 1]}) // {RADIX[i]}" for i in range(8))
+_level = " ".join(f"WHEN flush >= (flushes // {RADIX[i + 1]}) * {RADIX[i + 1]} THEN {i}" for i in range(8))
+_table = " ".join(f"WHEN {i} THEN (flush - (flushes // {RADIX[i + 1]}) * {RADIX[i + 1]}) // {RADIX[i]}" for i in range(8))
 PLACED = (
     SEGMENTS
-    + f""", sizes AS (SELECT segment, count(*) AS n FROM entries GROUP BY segment HAVING count(*) >= 1000),
-leveled AS (SELECT segment, n, flushes, CASE {_level} END AS level FROM sizes, (SELECT count(*) AS flushes FROM sizes)),
+    + f""", sizes AS (SELECT segment, count(*) AS n, row_number() OVER (ORDER BY segment) - 1 AS flush FROM entries GROUP BY segment HAVING count(*) >= 1000),
+leveled AS (SELECT segment, n, flush, flushes, CASE {_level} END AS level FROM sizes, (SELECT count(*) AS flushes FROM sizes)),
 placed AS (SELECT segment, n, CAST(level AS BIGINT) AS level, CAST(CASE level {_table} END AS BIGINT) AS "table" FROM leveled)"""
 )
 
@@ -260,12 +260,12 @@ RANGES = """versions AS (
 
 
 @query(
-    f"""WITH {EVENTS}, ranges AS (SELECT seq, k, CAST(CAST(k AS BIGINT) + 20 AS VARCHAR) AS k2 FROM events_log WHERE op = 'g' AND seq % 97 = 0),
+    f"""WITH {EVENTS}, ranges AS (SELECT seq, k, CAST(CAST(k AS BIGINT) + 20 AS VARCHAR) AS k2 FROM events_log WHERE op = 'g'),
 {RANGES.format(log="events_log")} SELECT seq, k, v FROM versions WHERE place = 1 AND op = 'p'"""
 )
 def q11_range_replay(spark, sf_dir):
-    """Only the gets at every 97th place, as its SQL has them; ``q38_range_replay_log`` replays them all."""
-    return replay.range_replay(range_log(spark, sf_dir, every=97))
+    """Every get of the log as a range."""
+    return replay.range_replay(range_log(spark, sf_dir))
 
 
 @query(f"WITH {LIVE} SELECT CAST(c_custkey AS VARCHAR) AS k FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT k FROM live)")
@@ -302,7 +302,17 @@ def q14_segment_assign(spark, sf_dir):
     return orders.unionByName(events).select("log", "segment", "n")
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {EVENTS}, writes AS (
+  SELECT CAST(k AS BIGINT) // 40 AS stream, seq, k, row_number() OVER (PARTITION BY CAST(k AS BIGINT) // 40 ORDER BY seq) AS rn FROM events_log WHERE op <> 'g'),
+folded AS (
+  SELECT stream, rn, seq, k, CAST(0 AS BIGINT) AS segment, [k] AS seen FROM writes WHERE rn = 1
+  UNION ALL
+  SELECT w.stream, w.rn, w.seq, w.k, CASE WHEN len(f.seen) >= 20 THEN f.segment + 1 ELSE f.segment END,
+         CASE WHEN len(f.seen) >= 20 THEN [w.k] WHEN list_contains(f.seen, w.k) THEN f.seen ELSE list_append(f.seen, w.k) END
+  FROM folded f JOIN writes w ON w.stream = f.stream AND w.rn = f.rn + 1)
+SELECT stream, segment, count(*) AS n, count(DISTINCT k) AS keys, min(seq) AS first_seq FROM folded GROUP BY stream, segment"""
+)
 def q14_segment_exact(spark, sf_dir):
     """Segments by distinct keys of the update-heavy log, each customer segment of 40 users a stream."""
     log = events_log(spark, sf_dir).withColumn("stream", F.floor(F.col("k").cast("bigint") / 40))
@@ -324,7 +334,7 @@ def q16_delta_decode(spark, sf_dir):
     from pyspark.sql import Window
 
     encoded = layout.delta_encode(orders_segments(spark, sf_dir))
-    placed = encoded.withColumn("place", F.row_number().over(Window.partitionBy("segment").orderBy("k")))
+    placed = encoded.withColumn("place", F.row_number().over(Window.partitionBy("segment").orderBy("k", "v")))
     return layout.delta_decode(placed.select("segment", "place", "lcp", "suffix", "v"))
 
 
@@ -387,14 +397,13 @@ def merged_both_ways(runs: list[DataFrame]) -> DataFrame:
 
 
 @query(
-    f"""WITH {EVENTS}, kept AS (SELECT k, op, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS place FROM events_log WHERE op <> 'g' AND seq < 6000) WHERE place = 1)
+    f"""WITH {EVENTS}, kept AS (SELECT k, op, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS place FROM events_log WHERE op <> 'g') WHERE place = 1)
 SELECT 'keep' AS mode, * FROM kept UNION ALL SELECT 'purge' AS mode, * FROM kept WHERE op = 'p'"""
 )
 def q21_compact_merge(spark, sf_dir):
-    """Two runs of the first 6,000 operations, as its SQL has them; ``q37_compact_merge_log`` merges the whole log."""
-    log = events_log(spark, sf_dir)
-    runs = [compaction.flush_segments(layout.by_position(log.where(part))).drop("segment") for part in ("seq < 3000", "seq >= 3000 AND seq < 6000")]
-    return merged_both_ways(runs)
+    """The even and the odd segments of the whole log as two runs."""
+    flushed = compaction.flush_segments(layout.by_position(events_log(spark, sf_dir)))
+    return merged_both_ways([flushed.where(F.col("segment") % 2 == odd).drop("segment") for odd in (0, 1)])
 
 
 def placement(spark, sf_dir) -> DataFrame:
@@ -566,25 +575,3 @@ def q35_range_half_open_numeric(spark, sf_dir):
 @query(f"WITH {EVENTS} SELECT k, v, op, seq AS valid_from, lead(seq) OVER (PARTITION BY k ORDER BY seq) AS valid_to FROM events_log WHERE op <> 'g'")
 def q36_version_history(spark, sf_dir):
     return replay.version_history(events_log(spark, sf_dir))
-
-
-# ------------------------------------------------------------------ whole logs
-
-
-@query(
-    f"""WITH {EVENTS}, kept AS (SELECT k, op, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS place FROM events_log WHERE op <> 'g') WHERE place = 1)
-SELECT 'keep' AS mode, * FROM kept UNION ALL SELECT 'purge' AS mode, * FROM kept WHERE op = 'p'"""
-)
-def q37_compact_merge_log(spark, sf_dir):
-    """The even and the odd segments of the whole log as two runs."""
-    flushed = compaction.flush_segments(layout.by_position(events_log(spark, sf_dir)))
-    return merged_both_ways([flushed.where(F.col("segment") % 2 == odd).drop("segment") for odd in (0, 1)])
-
-
-@query(
-    f"""WITH {EVENTS}, ranges AS (SELECT seq, k, CAST(CAST(k AS BIGINT) + 20 AS VARCHAR) AS k2 FROM events_log WHERE op = 'g'),
-{RANGES.format(log="events_log")} SELECT seq, k, v FROM versions WHERE place = 1 AND op = 'p'"""
-)
-def q38_range_replay_log(spark, sf_dir):
-    """Every get of the log as a range."""
-    return replay.range_replay(range_log(spark, sf_dir))

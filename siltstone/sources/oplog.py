@@ -6,7 +6,7 @@ value is a delete.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import TOMBSTONE
@@ -54,12 +54,19 @@ def parse_workload(lines: DataFrame) -> DataFrame:
 
 
 def read_workload(spark: SparkSession, path: str) -> DataFrame:
-    """Lines (seq, line) of text files; seq follows the lines' order within a file split.
+    """Lines (seq, line) of text files; seq numbers them by file name and place in the file.
 
-    Line numbers across splits would take a pass over the data, so seq is the
-    split's number and the line's place in it, which orders lines but is not dense.
+    Files are cut into splits that come in any order, so each split's lines are counted
+    first; a line's number is the count of the splits before plus its place in its own.
     """
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line")
+    )
+    splits = lines.groupBy("file", "start").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    # A row for each split, which the driver lists anyway to plan the scan.
+    earlier = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = splits.select("file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(numbered), ["file", "start"]).select((F.col("place") + F.col("shift")).alias("seq"), "line")
 
 
 def operations(parsed: DataFrame) -> DataFrame:

@@ -113,6 +113,24 @@ def test_level_placement(spark, flushes):
     assert got == simulate(flushes, Config().widths(8))
 
 
+@pytest.mark.parametrize("numbers", [[0, 2, 3], [5, 70_000, 70_001, 200_000, 300_000]])
+def test_level_placement_ranks_the_full_segments(spark, numbers):
+    """Short segments among the full ones, and numbers far apart, leave no gap."""
+    rows = [(n,) for n in numbers for _ in range(2)] + [(1,), (70_002,)]
+    got = {r.segment: (r.level, r.table) for r in layout.level_placement(spark.createDataFrame(rows, "segment bigint"), Config(memtable_entries=2)).collect()}
+    expected = simulate(len(numbers), Config().widths(8))
+    assert got == {n: expected[i] for i, n in enumerate(numbers)}
+
+
+def test_repeated_keys_of_a_segment(spark):
+    rows = [(0, "a", "zz"), (0, "a", "b"), (0, "ab", "c"), (0, "a", "b")]
+    entries = spark.createDataFrame(rows, "segment bigint, k string, v string")
+    got = sorted((r.block, r.place, r.k, r.bytes, r.restart) for r in layout.pack_blocks(entries).collect())
+    assert got == pack([(k, v) for _, k, v in rows])
+    sizes = sorted((r.k, r.v, r.lcp, r.encoded_size) for r in layout.delta_encode(entries).collect())
+    assert sizes == [("a", "b", 0, 5), ("a", "b", 1, 4), ("a", "zz", 1, 5), ("ab", "c", 1, 5)]
+
+
 def test_distinct_key_segments(spark):
     keys = [str(i * 7 % 13) for i in range(200)]
     expected, segment, seen = [], 0, set()
@@ -122,8 +140,9 @@ def test_distinct_key_segments(spark):
         seen.add(k)
         expected.append(segment)
     log = spark.createDataFrame([(i, "p", k, "x", None) for i, k in enumerate(keys)], "seq bigint, op string, k string, v string, k2 string").repartition(3)
-    got = {r.seq: r.segment for r in layout.by_distinct_keys(log, Config(memtable_entries=5)).collect()}
-    assert [got[i] for i in range(200)] == expected
+    got = layout.by_distinct_keys(log, Config(memtable_entries=5))
+    assert got.columns == [*log.columns, "segment"]
+    assert [r.segment for r in sorted(got.collect(), key=lambda r: r.seq)] == expected
 
 
 def test_range_flag_and_get_until(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import TOMBSTONE, Config
 from siltstone.functions.encoding import common_prefix, human_size, size_order, varint_size
+from siltstone.operators import state
 from siltstone.sources import oplog
 
 LINES = [
@@ -33,6 +34,24 @@ def test_read_workload_files_in_order(spark, tmp_path):
     assert [r.line for r in lines.collect()] == ["p 1 2", "", "g 1", "d 1"]
 
 
+def test_read_workload_numbers_lines_over_files(spark, tmp_path):
+    """A large later file, which Spark plans first, still comes last."""
+    (tmp_path / "part-000").write_text("p 1 100\n")
+    later = ["p 1 200", *(f"p {i} {i}" for i in range(2, 60_000))]
+    (tmp_path / "part-001").write_text("\n".join(later) + "\n")
+    (tmp_path / "part-002").write_text("d 7\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        lines = oplog.read_workload(spark, str(tmp_path)).cache()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.line for r in sorted(lines.collect(), key=lambda r: r.seq)] == ["p 1 100", *later, "d 7", ""]
+    assert {r.seq for r in lines.collect()} == set(range(len(later) + 3))
+    state_of = {r.k: r.v for r in state.resolve(oplog.operations(oplog.parse_workload(lines))).collect()}
+    assert state_of["1"] == "200" and "7" not in state_of
+
+
 def test_tombstone_value_is_a_delete(spark):
     log = spark.createDataFrame([(1, "p", "a", TOMBSTONE, None), (2, "p", "b", "x", None), (3, "d", "c", "junk", None)], oplog.LOG_SCHEMA)
     assert [(r.op, r.v) for r in oplog.normalised(log).orderBy("seq").collect()] == [("d", None), ("p", "x"), ("d", None)]
