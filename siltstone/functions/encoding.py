@@ -22,6 +22,44 @@ def varint_size(n: Column) -> Column:
     return out.cast("bigint")
 
 
+def varint_bytes(n: Column) -> Column:
+    """The bytes of a non-negative 64-bit integer, seven bits in each from the lowest, the eighth set on all but the last."""
+
+    def coded(size: int) -> Column:
+        parts = [F.shiftright(n, 7 * i).bitwiseAND(F.lit(127)) + (128 if i < size - 1 else 0) for i in range(size)]
+        return F.concat(*(F.unhex(F.lpad(F.hex(p), 2, "0")) for p in parts))
+
+    out = coded(9)
+    for size in range(8, 0, -1):
+        out = F.when(n < (1 << 7 * size), coded(size)).otherwise(out)
+    return out
+
+
+def expected_varint_size(bits: int) -> float:
+    """Mean bytes of a uniform integer below ``2**bits``."""
+    counts = [(min(bits, 7 * size), size) for size in range(1, -(-bits // 7) + 1)]
+    lower, mean = 0, 0.0
+    for top, size in counts:
+        mean += size * ((1 << top) - lower) / (1 << bits)
+        lower = 1 << top
+    return mean
+
+
+def expected_geometric_varint_size(p: float) -> float:
+    """Mean bytes of an integer that is n with the probability ``p * (1 - p) ** n``."""
+    if not 0 < p <= 1:
+        raise ValueError("the probability must lie above 0 and at most at 1")
+    # One byte, and one more for every power of 128 that the integer reaches.
+    return 1 + sum((1 - p) ** (1 << 7 * size) for size in range(1, 9))
+
+
+def expected_shared_prefix(p: float, interval: int) -> float:
+    """Mean characters that a key shares with the one before, each further one with probability ``p``, but at restarts none."""
+    if not 0 <= p < 1 or interval < 1:
+        raise ValueError("the probability must lie below 1 and the interval be positive")
+    return (1 - 1 / interval) * p / (1 - p)
+
+
 def record_size(shared: Column, key_length: Column, value_length: Column) -> Column:
     """Bytes of a record whose key shares ``shared`` characters with the one before."""
     suffix = key_length - shared

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULT, Config
-from siltstone.functions.encoding import common_prefix, hash_slice, let, record_size, varint_size
+from siltstone.functions.encoding import common_prefix, hash_slice, let, record_size, varint_bytes, varint_size
 from siltstone.operators.replay import carried
 
 LEVELS = 12
@@ -161,6 +161,72 @@ def fence_lookup(probes: DataFrame, fences: DataFrame) -> DataFrame:
     return probes.join(arrays, "segment").select("segment", "k", F.greatest(F.size(below) - 1, F.lit(0)).cast("bigint").alias("block"))
 
 
+def segment_get(probes: DataFrame, packed: DataFrame, filters: DataFrame, bits: int, hashes: int, config: Config = DEFAULT) -> DataFrame:
+    """(segment, k, maybe, block, run, found, v) of every probe (segment, k), by the steps of a read.
+
+    The filter rules most absent keys out; a fence tells the block, the last restart
+    at or before the key the run in it, and only that run's records are searched.
+    Steps that were not taken are null.
+    """
+    asked = bloom_probe(probes, filters, bits, hashes)
+    placed = fence_lookup(asked.where("maybe").select("segment", "k"), fence_pointers(packed))
+    numbered = packed.withColumn("run", F.floor(F.col("place") / config.restart_interval))
+    restarts = numbered.where("restart").groupBy("segment", "block").agg(F.array_sort(F.collect_list(F.struct("run", F.col("k").alias("first")))).alias("restarts"))
+    before = F.filter("restarts", lambda r: r["first"] <= F.col("k"))
+    runs = placed.join(restarts, ["segment", "block"]).select("segment", "k", "block", F.greatest(F.size(before) - 1, F.lit(0)).cast("bigint").alias("run"))
+    # The newest writes of a segment, so a key is in one record.
+    hits = runs.join(numbered.select("segment", "block", "run", "k", "v", F.lit(True).alias("found")), ["segment", "block", "run", "k"], "left")
+    return asked.join(hits, ["segment", "k"], "left").select("segment", "k", "maybe", "block", "run", F.coalesce("found", F.lit(False)).alias("found"), "v")
+
+
+def encoded_blocks(packed: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """(segment, block, data): each block's records as bytes, end to end.
+
+    A record is the varints of its shared, unshared and value bytes, the rest of the
+    key and the value; keys share whole characters with the one before.
+    """
+    previous = F.lag("k").over(Window.partitionBy("segment", "block").orderBy("place"))
+    whole = F.col("place") % config.restart_interval == 0
+    shared = F.when(whole, F.lit(0).cast("bigint")).otherwise(common_prefix(previous, F.col("k")))
+    cut = packed.select("segment", "block", "place", "k", "v", shared.alias("shared"))
+    rest = F.expr("substring(k, int(shared) + 1)")
+    held = F.octet_length(F.expr("substring(k, 1, int(shared))"))
+    record = F.concat(*(varint_bytes(n.cast("bigint")) for n in (held, F.octet_length(rest), F.octet_length("v"))), rest.cast("binary"), F.col("v").cast("binary"))
+    rows = cut.select("segment", "block", "place", record.alias("record"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "record"))), lambda x: F.hex(x["record"])), "")
+    return rows.groupBy("segment", "block").agg(F.unhex(joined).alias("data"))
+
+
+def decoded_blocks(blocks: DataFrame) -> DataFrame:
+    """(segment, block, place, k, v) of the records of (segment, block, data), read one after the other."""
+
+    def varint(data: bytes, at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value, at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for segment, block, data in zip(*(c.to_pylist() for c in batch.columns)):
+                at, last, keys, values = 0, b"", [], []
+                while at < len(data):
+                    shared, at = varint(data, at)
+                    rest, at = varint(data, at)
+                    size, at = varint(data, at)
+                    last = last[:shared] + data[at : at + rest]
+                    keys.append(last)
+                    values.append(data[at + rest : at + rest + size])
+                    at += rest + size
+                n = len(keys)
+                columns = [pa.array([segment] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int64()), *(pa.array(x, pa.binary()).cast(pa.string()) for x in (keys, values))]
+                yield pa.RecordBatch.from_arrays(columns, ["segment", "block", "place", "k", "v"])
+
+    return blocks.select("segment", "block", "data").mapInArrow(run, "segment bigint, block bigint, place bigint, k string, v string")
+
+
 def hash_index(packed: DataFrame) -> DataFrame:
     """(segment, block, index): restart keys to restart ordinals; a block's first is not indexed."""
     restarts = packed.where(F.col("restart") & (F.col("place") > 0))

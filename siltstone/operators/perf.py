@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Counters of a log's last section: column, pattern, type.
+#: The counters of a log's last section, by column, pattern and type.
 COUNTERS = (
     ("cycles", r"(\d+)\s+cycles:u", "bigint"),
     ("instructions", r"(\d+)\s+instructions:u", "bigint"),
@@ -25,9 +25,30 @@ def extract(logs: DataFrame) -> DataFrame:
     return found.select("run", *(F.regexp_extract(section, p, 1).try_cast(kind).alias(name) for name, p, kind in COUNTERS))
 
 
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(run, content) of every log file, whole; ``run`` is the last number in its name."""
+    files = spark.read.text(path, wholetext=True).select("_metadata.file_name", F.col("value").alias("content"))
+    return files.select(F.regexp_extract("file_name", r"([0-9]+)[^0-9]*$", 1).try_cast("bigint").alias("run"), "content")
+
+
+METRICS = "run bigint, " + ", ".join(f"{name} {kind}" for name, _, kind in COUNTERS)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """(run, counters) of one benchmark as CSV with a header, in a folder named ``logs_<op>_<variant>_metrics.csv``."""
+    metrics.select("run", *(name for name, _, _ in COUNTERS)).write.mode("overwrite").csv(path, header=True)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(op, variant, run, counters) of metrics files, or folders of them, labelled by their names."""
+    rows = spark.read.schema(METRICS).csv(path, header=True)
+    op, variant = labels(F.regexp_replace("_metadata.file_path", r"\.csv/[^/]+$", ".csv"))
+    return rows.select(op.alias("op"), variant.alias("variant"), *rows.columns)
+
+
 def labels(name):
     """(op, variant) of a metrics file ``logs_<op>_<variant>_metrics.csv``; the variant may hold underscores."""
-    core = F.regexp_extract(name, r"logs_(.+)_metrics\.csv$", 1)
+    core = F.regexp_extract(name, r"logs_([^/]+)_metrics\.csv$", 1)
     parts = F.split(core, "_", 2)
     return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import DEFAULT
+from siltstone.functions import encoding
 from siltstone.functions.encoding import size_order, varint_size
 from siltstone.operators import compaction, layout, perf, replay, state
-from siltstone.sources import oplog
+from siltstone.operators.store import Store
+from siltstone.sources import folders, oplog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -575,3 +577,139 @@ def q35_range_half_open_numeric(spark, sf_dir):
 @query(f"WITH {EVENTS} SELECT k, v, op, seq AS valid_from, lead(seq) OVER (PARTITION BY k ORDER BY seq) AS valid_to FROM events_log WHERE op <> 'g'")
 def q36_version_history(spark, sf_dir):
     return replay.version_history(events_log(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ the store
+
+FLUSHES = 7
+_stores: dict[tuple[str, str], Store] = {}
+
+
+def events_store(spark, sf_dir) -> Store:
+    """The events log flushed in seven parts to a store, made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        store = Store(spark, folders.shared_folder(spark, "store"))
+        log = events_log(spark, sf_dir)
+        top = log.agg(F.max("seq")).first()[0] or 0
+        for i in range(FLUSHES):
+            store.flush(log.where(F.floor(F.col("seq") * FLUSHES / (top + 1)) == i))
+        store.delete_segments()
+        _stores[key] = store
+    return _stores[key]
+
+
+@query(f"WITH {LIVE} SELECT k, v, seq FROM live")
+def q37_store_state(spark, sf_dir):
+    """Flushes and compactions leave the state as it is."""
+    return events_store(spark, sf_dir).state()
+
+
+STORED = f"""{EVENTS}, parts AS (
+  SELECT *, CAST(floor(seq * {FLUSHES} / ((SELECT max(seq) FROM events_log) + 1)) AS BIGINT) AS part FROM events_log WHERE op <> 'g'),
+newest AS (
+  SELECT *, row_number() OVER (PARTITION BY part = {FLUSHES - 1}, k ORDER BY seq DESC) AS place FROM parts),
+stored AS (
+  SELECT 0 AS level, k, op, v FROM newest WHERE place = 1 AND part = {FLUSHES - 1}
+  UNION ALL SELECT 2 AS level, k, op, v FROM newest WHERE place = 1 AND part < {FLUSHES - 1} AND op = 'p')"""
+
+
+@query(f"WITH {STORED} SELECT CAST(level AS BIGINT) AS level, CAST(1 AS BIGINT) AS tables, count(*) AS entries, CAST(count_if(op = 'd') AS BIGINT) AS deletes FROM stored GROUP BY level")
+def q38_store_levels(spark, sf_dir):
+    """Seven flushes: six merged into one table of level 2, without deletes, and the last at level 0, with its deletes."""
+    return events_store(spark, sf_dir).levels()
+
+
+@query(f"WITH {LIVE} SELECT 'get' AS read, k, v FROM live WHERE k = '7' UNION ALL SELECT 'range' AS read, k, v FROM live WHERE k BETWEEN '10' AND '2'")
+def q39_store_reads(spark, sf_dir):
+    store = events_store(spark, sf_dir)
+    return store.get("7").select(F.lit("get").alias("read"), "k", "v").unionByName(store.range("10", "2").select(F.lit("range").alias("read"), "k", "v"))
+
+
+@query(
+    f"""WITH {LIVE.removeprefix(EVENTS + ", ")}, {STORED.removeprefix(EVENTS + ", ")}, counts AS (SELECT level, count(*) AS n FROM stored GROUP BY level)
+SELECT (SELECT count(*) FROM live) AS logical_pairs, string_agg('LEVEL' || level || '=' || n, ',' ORDER BY level) AS level_counts FROM counts""".replace("WITH ", f"WITH {EVENTS}, ", 1)
+)
+def q40_store_stats(spark, sf_dir):
+    entries = F.transform(F.array_sort(F.map_entries("level_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return events_store(spark, sf_dir).stats().select("logical_pairs", F.array_join(entries, ",").alias("level_counts"))
+
+
+# ------------------------------------------------------------------ reads and bytes of segments
+
+
+@query(
+    f"""WITH RECURSIVE {FENCES}, hashed AS (SELECT segment, k, {_hash(0)} AS h1, {_hash(1)} AS h2 FROM entries),
+bits AS (SELECT DISTINCT segment, (h1 + i * h2) % {BLOOM_BITS} AS position FROM hashed, range({BLOOM_HASHES}) t(i)),
+probes AS (SELECT c_custkey // 1000 + s AS segment, CAST(c_custkey AS VARCHAR) AS k FROM customer, range(2) u(s)),
+asked AS (SELECT segment, k, bool_and(b.position IS NOT NULL) AS maybe
+  FROM (SELECT segment, k, ({_hash(0)} + i * {_hash(1)}) % {BLOOM_BITS} AS position FROM probes, range({BLOOM_HASHES}) t(i)) LEFT JOIN bits b USING (segment, position) GROUP BY segment, k),
+placed AS (SELECT a.segment, a.k, CAST(coalesce(max(f.block) FILTER (WHERE f.first_key <= a.k), 0) AS BIGINT) AS block
+  FROM asked a JOIN fences f ON f.segment = a.segment WHERE maybe GROUP BY a.segment, a.k),
+runs AS (SELECT p.segment, p.k, p.block, CAST(coalesce(max(r.place // 16) FILTER (WHERE r.k <= p.k), 0) AS BIGINT) AS run
+  FROM placed p JOIN packed r ON r.segment = p.segment AND r.block = p.block AND r.restart GROUP BY p.segment, p.k, p.block)
+SELECT a.segment, a.k, a.maybe, r.block, r.run, h.v IS NOT NULL AS found, h.v
+FROM asked a LEFT JOIN runs r ON r.segment = a.segment AND r.k = a.k
+LEFT JOIN packed h ON h.segment = r.segment AND h.block = r.block AND h.place // 16 = r.run AND h.k = r.k"""
+)
+def q41_segment_get(spark, sf_dir):
+    """Customer keys sought in their segment and in the next."""
+    entries = orders_segments(spark, sf_dir)
+    own = F.floor(F.col("k").cast("bigint") / 1000).cast("bigint")
+    probes = probe_keys(spark, sf_dir).select(F.explode(F.array(own, own + 1)).alias("segment"), "k")
+    filters = layout.bloom_build(entries, BLOOM_BITS, BLOOM_HASHES)
+    return layout.segment_get(probes, layout.pack_blocks(entries), filters, BLOOM_BITS, BLOOM_HASHES)
+
+
+@query(
+    f"""WITH RECURSIVE {PACKED}, records AS (
+  SELECT p.segment, p.block, p.place, CASE WHEN p.restart THEN 0 ELSE s.lcp END AS shared, p.k, p.v FROM packed p JOIN sized s ON s.segment = p.segment AND s.k = p.k),
+hexed AS (
+  SELECT segment, block, place, printf('%02X', CAST(shared AS BIGINT)) || printf('%02X', CAST(len(k) - shared AS BIGINT)) || printf('%02X', CAST(len(v) AS BIGINT))
+    || hex(substr(k, CAST(shared AS BIGINT) + 1)) || hex(v) AS record FROM records),
+joined AS (SELECT segment, block, string_agg(record, '' ORDER BY place) AS data FROM hexed GROUP BY segment, block)
+SELECT segment, block, CAST(len(data) // 2 AS BIGINT) AS n_bytes, md5(data) AS digest FROM joined"""
+)
+def q42_block_bytes(spark, sf_dir):
+    blocks = layout.encoded_blocks(layout.pack_blocks(orders_segments(spark, sf_dir)))
+    return blocks.select("segment", "block", F.octet_length("data").cast("bigint").alias("n_bytes"), F.md5(F.hex("data").cast("binary")).alias("digest"))
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT segment, block, place, k, v FROM packed")
+def q43_block_decode(spark, sf_dir):
+    """The records of every block, read back from its bytes."""
+    return layout.decoded_blocks(layout.encoded_blocks(layout.pack_blocks(orders_segments(spark, sf_dir))))
+
+
+@query(f"WITH RECURSIVE {PACKED} SELECT segment, block, k, place // 16 AS ordinal FROM packed WHERE restart AND place > 0")
+def q44_hash_index(spark, sf_dir):
+    index = layout.hash_index(layout.pack_blocks(orders_segments(spark, sf_dir)))
+    return index.select("segment", "block", F.explode("index").alias("k", "ordinal"))
+
+
+# ------------------------------------------------------------------ labels and models
+
+METRIC_FILES = ("logs_get_bloom_1m_metrics.csv", "logs_put_10k_metrics.csv", "runs/logs_range_rayon_10m_metrics.csv", "other.csv")
+
+
+@query(
+    "WITH names AS (SELECT unnest(["
+    + ", ".join(f"'{x}'" for x in METRIC_FILES)
+    + """]) AS name), cores AS (SELECT name, regexp_extract(name, 'logs_([^/]+)_metrics[.]csv$', 1) AS core FROM names)
+SELECT name, split_part(core, '_', 1) AS op, CASE WHEN contains(core, '_') THEN substr(core, strpos(core, '_') + 1) END AS variant FROM cores"""
+)
+def q45_metric_labels(spark, sf_dir):
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, METRIC_FILES))).alias("name"))
+    op, variant = perf.labels(F.col("name"))
+    return names.select("name", op.alias("op"), variant.alias("variant"))
+
+
+@query(
+    """SELECT 'uniform varint, 32 bits' AS model, round((128 + 2 * (16384 - 128) + 3 * (2097152 - 16384) + 4 * (268435456 - 2097152) + 5 * (4294967296 - 268435456)) / 4294967296, 9) AS value
+UNION ALL SELECT 'geometric varint, 0.001', round(1 + pow(0.999, 128) + pow(0.999, 16384) + pow(0.999, 2097152), 9)
+UNION ALL SELECT 'shared prefix, 0.8 by 16', round((1 - 1.0 / 16) * 0.8 / (1 - 0.8), 9)"""
+)
+def q46_closed_forms(spark, sf_dir):
+    """Expected sizes, to set beside the measured ones of q26 and q27."""
+    rows = [("uniform varint, 32 bits", encoding.expected_varint_size(32)), ("geometric varint, 0.001", encoding.expected_geometric_varint_size(0.001)), ("shared prefix, 0.8 by 16", encoding.expected_shared_prefix(0.8, 16))]
+    return spark.createDataFrame([(m, round(x, 9)) for m, x in rows], "model string, value double")
