@@ -19,7 +19,6 @@ read.  Sequence numbers derive from the partition and are unique, not dense.
 from __future__ import annotations
 
 import heapq
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -40,8 +39,8 @@ LINEAR, QUADRATIC = 1.0, 1 / 24_576
 
 
 @lru_cache(maxsize=1)
-def unsettled() -> re.Pattern:
-    """Matches a character that the library may normalise otherwise than this Python.
+def unsettled() -> np.ndarray:
+    """Whether the library may normalise a code point otherwise than this Python, for all of them.
 
     Their tables follow different versions of Unicode.  So the library is asked for
     every code point: its lower case, its composed form, what its decomposition
@@ -63,27 +62,31 @@ def unsettled() -> re.Pattern:
 
     found |= differing(probes[: len(plain)], normalizers.Lowercase().normalize_str, lambda x: x.replace("Σ", "σ").lower())
     found |= differing(probes, normalizers.NFC().normalize_str, lambda x: unicodedata.normalize("NFC", x))
-    known = np.array(sorted(map(ord, found)))
-    starts = np.flatnonzero(np.diff(known, prepend=-2) != 1)
-    ends = np.append(starts[1:], len(known)) - 1
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(known[starts].tolist(), known[ends].tolist())) + "]")
+    out = np.zeros(0x110000, bool)
+    out[list(map(ord, found))] = True
+    return out
 
 
 def normal_form(text: str) -> str:
-    """The vocabulary's normal form, but for white space, which its splitting drops."""
-    if unsettled().search(text):
-        from tokenizers import normalizers
-
-        return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
+    """The vocabulary's normal form of settled characters, but for white space, which its splitting drops."""
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     return text.replace("Σ", "σ").lower()
 
 
+def library_form(text: str) -> str:
+    """The same, by the library."""
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
+
+
 def normalized(data: bytes, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
     if data.isascii():
         return data.lower(), offs
-    parts = [normal_form(data[a:b].decode("utf-8")).encode("utf-8") for a, b in zip(offs, offs[1:])]
+    cp, firsts, _ = code_points(data, offs)
+    odd = set((np.searchsorted(firsts, np.flatnonzero(unsettled()[cp]), side="right") - 1).tolist())
+    parts = [(library_form if i in odd else normal_form)(data[a:b].decode("utf-8")).encode("utf-8") for i, (a, b) in enumerate(zip(offs, offs[1:]))]
     return b"".join(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
