@@ -43,11 +43,17 @@ SLICE_BYTES = 5_000_000
 
 
 def _bit_lengths(v: np.ndarray) -> np.ndarray:
+    if v.max(initial=0) < 1 << 16:
+        return _SMALL.take(v.astype(np.uint16))
     high = (v >> np.uint64(32)).astype(np.float64)
     low = (v & np.uint64(0xFFFFFFFF)).astype(np.float64)
     return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1]).astype(np.uint8)
 
 
+#: Bit lengths of the integers below 2**16.
+_SMALL = np.frexp(np.arange(1 << 16, dtype=float))[1].astype(np.uint8)
+
+
 def encode_page(ids: np.ndarray) -> bytes:
     """The page form of unsigned ids."""
     ids = np.asarray(ids).astype(np.uint64)
