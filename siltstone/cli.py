@@ -24,7 +24,7 @@ def run(spark: SparkSession, folder: str, verb: str, *words: str) -> list[str]:
         raise ValueError(__doc__)
     store = Store(spark, folder)
     if verb in "pdl":
-        first = max((t.newest for t in store.tables()), default=-1) + 1
+        first = store.taken() + 1
         if verb == "l":
             log = oplog.operations(oplog.parse_workload(oplog.read_workload(spark, words[0])))
         else:

@@ -6,6 +6,10 @@ older lies below.  Every change writes the next version of the manifest, a small
 table that names the tables; a version without its mark of success is never read,
 so a change that fails leaves the state as it was.
 
+Batches come in order of seq: a batch's operations up to the newest that the store
+has taken are a repeat, as after a failure, and left out.  A store that is made with
+``in_order=False`` takes batches in any order and therefore never drops a delete.
+
 A table is sorted by key, with row-group statistics and a Bloom filter on the key,
 so a point read opens few tables and decodes few pages of each.
 """
@@ -53,8 +57,8 @@ def level_rates(entries: list[int], config: Config = DEFAULT) -> list[float]:
 class Store:
     """The tree in one folder.  One writer at a time; readers see whole versions."""
 
-    def __init__(self, spark: SparkSession, path: str, config: Config = DEFAULT):
-        self.spark, self.path, self.config = spark, path.rstrip("/"), config
+    def __init__(self, spark: SparkSession, path: str, config: Config = DEFAULT, in_order: bool = True):
+        self.spark, self.path, self.config, self.in_order = spark, path.rstrip("/"), config, in_order
 
     # ------------------------------------------------------------ manifest
 
@@ -63,16 +67,24 @@ class Store:
         done = [x for x in folders.names(self.spark, f"{self.path}/manifest") if "_SUCCESS" in folders.names(self.spark, f"{self.path}/manifest/{x}")]
         return max((int(x) for x in done), default=0)
 
-    def tables(self) -> list[Table]:
-        """All tables by level and number; there are at most the levels' widths of them."""
+    def _manifest(self) -> tuple[int, list[Table]]:
+        """The newest seq that the store has taken, -1 at first, and all tables by level and number."""
         version = self._version()
-        if not version:
-            return []
-        rows = self.spark.read.schema(TABLES).parquet(f"{self.path}/manifest/{version}").collect()
-        return sorted((Table(**r.asDict()) for r in rows), key=lambda t: (t.level, t.number))
+        rows = self.spark.read.schema(TABLES).parquet(f"{self.path}/manifest/{version}").collect() if version else []
+        found = sorted((Table(**r.asDict()) for r in rows), key=lambda t: (t.level, t.number))
+        return max((t.newest for t in found), default=-1), [t for t in found if t.level >= 0]
+
+    def tables(self) -> list[Table]:
+        """All tables; there are at most the levels' widths of them."""
+        return self._manifest()[1]
+
+    def taken(self) -> int:
+        """The newest seq that the store has taken, also of operations that later ones replaced."""
+        return self._manifest()[0]
 
-    def _commit(self, tables: list[Table]) -> None:
-        rows = self.spark.createDataFrame([tuple(asdict(t).values()) for t in tables], TABLES)
+    def _commit(self, taken: int, tables: list[Table]) -> None:
+        head = Table(-1, 0, "", 0, 0, "", "", taken)
+        rows = self.spark.createDataFrame([tuple(asdict(t).values()) for t in [head, *tables]], TABLES)
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{self._version() + 1}")
 
     # ------------------------------------------------------------ writes
@@ -87,18 +99,18 @@ class Store:
 
     def flush(self, log: DataFrame) -> None:
         """One table of the newest versions in a batch of operations, and what compaction follows.  A batch without writes changes nothing."""
-        newest = state.resolve(log, keep_tombstones=True)
+        taken, tables = self._manifest()
+        newest = state.resolve(log.where(F.col("seq") > taken) if self.in_order else log, keep_tombstones=True)
         n = newest.count()
         if not n:
             return
-        tables = self.tables()
         made = self._write(newest, 0, sum(t.level == 0 for t in tables), self.config.flush_fpr, n)
-        self._commit([*tables, made])
+        self._commit(max(taken, made.newest), [*tables, made])
         self.compact()
 
     def compact(self) -> None:
         """Merge every full level into one table of the next, from the top on."""
-        tables = self.tables()
+        taken, tables = self._manifest()
         for level, width in enumerate(self.config.widths(LEVELS - 1)):
             full = [t for t in tables if t.level == level]
             if len(full) < width:
@@ -106,12 +118,12 @@ class Store:
             older = [t for t in tables if t.level > level]
             sizes = [sum(t.entries for t in tables if t.level == i) for i in range(level + 2)]
             sizes[level + 1], sizes[level] = sizes[level + 1] + sizes[level], 0
-            merged = merge_runs([self._read([t.folder]) for t in full], purge=not older)
+            merged = merge_runs([self._read([t.folder]) for t in full], purge=self.in_order and not older)
             made = self._write(merged, level + 1, sum(t.level == level + 1 for t in tables), level_rates(sizes, self.config)[level + 1], sum(t.entries for t in full))
             tables = [t for t in tables if t.level != level]
             if made.entries:
                 tables.append(made)
-            self._commit(tables)
+            self._commit(taken, tables)
 
     def delete_segments(self) -> int:
         """Delete folders that no table of the newest version lies in, and older versions; how many went.  Safe to repeat."""

@@ -1,4 +1,4 @@
-"""Streaming ingest: micro-batches of operations into a table of current state."""
+"""Streaming ingest: micro-batches of operations into a table of versions or a compacting store."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.operators.state import resolve
+from siltstone.operators.store import Store
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -24,6 +25,16 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str, once: bool = T
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def into_store(stream: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Flush each micro-batch to a store, which compacts as its levels fill.
+
+    A batch that is run again after a failure leaves the state as it is.  Where batches
+    may come out of the order of seq, the store must be one made with ``in_order=False``.
+    """
+    writer = stream.writeStream.foreachBatch(lambda batch, _: store.flush(batch)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
     """(k, v, seq) of the live keys of all batches."""
     return resolve(spark.read.parquet(path).select("k", "op", "v", "seq", F.lit(None).cast("string").alias("k2")))

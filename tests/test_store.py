@@ -88,6 +88,15 @@ def test_a_change_that_fails_leaves_the_state(spark, tmp_path):
     assert [r.v for r in made.get("a").collect()] == ["y"]
 
 
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    """Also after its deletes have been dropped."""
+    made = Store(spark, str(tmp_path))
+    batches = [spark.createDataFrame(rows, oplog.LOG_SCHEMA) for rows in ([(1, "p", "a", "x", None), (2, "p", "b", "y", None)], [(3, "d", "a", None, None)])]
+    for batch in [batches[0], *batches, batches[0], batches[1]]:
+        made.flush(batch)
+    assert [(r.k, r.v) for r in made.state().collect()] == [("b", "y")] and len(made.tables()) == 1 and made.taken() == 3
+
+
 def test_deletes_of_everything_leave_no_table(spark, tmp_path):
     made = Store(spark, str(tmp_path))
     for i in range(2):
