@@ -23,6 +23,16 @@ def test_random_letters_are_found(letters, size):
     assert sum(found) >= 0.97 * len(runs)
 
 
+@pytest.mark.parametrize("signs", [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_uppercase + "234567"])
+@pytest.mark.parametrize("size", [20, 32, 44, 64])
+def test_recall_of_random_strings(signs, size):
+    """At least 97 of 100 random strings have a span that covers all but signs at their ends."""
+    rng, scanner = random.Random(size), secret_scan.Scanner(RANKS)
+    runs = ["".join(rng.choice(signs) for _ in range(size)) for _ in range(300)]
+    found = sum(any(s <= 4 and e >= 4 + size for s, _, e in scanner.random(f"key {x} end")) for x in runs)
+    assert found >= 0.97 * len(runs), found
+
+
 def test_a_number_after_random_letters_hides_nothing():
     assert secret_scan.Scanner(RANKS).random("qwkzjxvbpmtrhgfdslwqxzkp-7")
 
